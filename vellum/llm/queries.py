@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontamination, ngram_jaccard, packing, token_counts
+from vellum.llm import chat, decontamination, embedding_dedup, lm_scoring, ngram_jaccard, packing, pii, token_counts
 from vellum.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,8 +39,28 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.select("conv_id", "turn", "role", "text").union(more)))
 
 
+def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_near_dups(table(spark, sf_dir, "embeddings"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op4_best_fit_packing, op5_decontamination, op7_token_counts, op8_chat_formatting)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard,
+            op3_pii,
+            op4_best_fit_packing,
+            op5_decontamination,
+            op7_token_counts,
+            op8_chat_formatting,
+            op9_embedding_near_dups,
+            op10_lm_scoring,
+        )
+    }
 
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,6 +109,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT d.vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(r.b) AS component_id, min(r.b) = d.vec_id AS kept
+FROM embeddings d JOIN r ON r.a = d.vec_id LEFT JOIN n ON n.a = d.vec_id GROUP BY d.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1, "op5_decontamination": OP5, "op8_chat_formatting": OP8}
+    return {"op9_embedding_near_dups": OP9, "op1_ngram_jaccard": OP1, "op5_decontamination": OP5, "op8_chat_formatting": OP8}
