@@ -19,6 +19,7 @@ document finds its place by its number in the runs of its length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from vellum.llm.common import materialize
 
 CAPACITY = 2_048
-GROUPS = 256
+GROUPS = 2_048
 #: Words whose tokens a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Documents that are encoded together.
 BATCH = 256
 
@@ -41,32 +42,77 @@ BATCH = 256
 class Encoder:
     """Token ids of texts by a ``tokenizers`` file, as little-endian 32-bit bytes.
 
-    The file's pre-tokenizer never joins characters over white space, so a text
-    has the tokens of its words, and words repeat. Texts are cut at ASCII white
-    space only, and words are encoded by the library itself.
+    The file's pre-tokenizer makes words that never cross white space and are
+    encoded on their own, and words repeat: their tokens are remembered. Texts
+    in Latin letters are cut into the pre-tokenizer's words here, and new words
+    are encoded together by the library, spaces between them; the mark that
+    ends the last token of a word tells them apart. Other texts are cut at white
+    space only, and what lies between is encoded by the library.
     """
 
+    #: The pre-tokenizer's pattern, with the letters and numerals below U+0100 written out.
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9²³¹¼½¾]|[^\t-\r \u0085\u00a0a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9²³¹¼½¾]+")
+    MARK = "</w>"
+
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(self.MARK)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.remembered = remembered
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        for known in (self.known, self.chunks):
+            if len(known) > self.remembered:
+                known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        plain, other = {}, {}
+        for i, t in enumerate(texts):
+            if self.is_plain(t):
+                plain[i] = self.WORDS.findall(t.lower())
+            else:
+                other[i] = self.between_spaces(t)
+        for split, known, add in ((plain, self.known, self.add_words), (other, self.chunks, self.add_chunks)):
+            new = {w for words in split.values() for w in words if w not in known}
+            add(list(new))
+            for i, words in split.items():
+                out[i] = b"".join([known[w] for w in words])
+        return out
+
+    def is_plain(self, text: str) -> bool:
+        """Whether lower case and normal form are the same everywhere for these characters, and no special token is in them."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not any(s in text for s in self.special)
+
+    def add_words(self, new: list[str]) -> None:
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # a vocabulary without such marks
+                return self.known.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))})
+            data, at = ids.tobytes(), 0
+            for w, e in zip(part, (ends * 4).tolist()):
+                self.known[w] = data[at:e]
+                at = e
+        return None
+
+    def add_chunks(self, new: list[str]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self.chunks[w] = np.array(e.ids, "<u4").tobytes()
 
     @staticmethod
-    def _words(text: str) -> list[str]:
-        # str.split also cuts at non-ASCII white space and at \x1c to \x1f; the latter may be part of a token
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
+    def between_spaces(text: str) -> list[str]:
+        # str.split also cuts at \x1c to \x1f, which may be part of a token
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [w.decode() for w in text.encode().split()]
         return text.split()
 
@@ -220,7 +266,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     first = F.coalesce(F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = counts.select("length", "salt", first.alias("before"))
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    numbered = salted.withColumn("number", number.cast("long")).join(before, ["length", "salt"])
+    numbered = salted.withColumn("number", number.cast("long")).join(before.hint("merge"), ["length", "salt"])
     numbered = numbered.select(*cut.columns, (F.col("number") + F.col("before")).alias("number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
