@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import slices
+
 WINDOW = 10
 #: Most bytes of benchmark text in one broadcast set.
 BLOCK_BYTES = 16_000_000
@@ -191,7 +193,20 @@ def find_contamination(
     return clean.unionByName(hit)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; columns stay as they are."""
-    found = find_contamination(docs, benchmark, id_col, text_col, **more).where("contaminated").select(F.col("doc_id").alias("__hit"))
-    return docs.join(found, docs[id_col] == F.col("__hit"), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; columns stay as they are.
+
+    Rows are scanned where they are, so there is no join; a benchmark of several
+    blocks is scanned block after block.
+    """
+    at = docs.columns.index(text_col)
+    for windows in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, GROUP):
+                texts = [t.encode() if t is not None else None for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array([not hit.any() for _, hit, _ in sent.value.scan(texts)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontamination, embedding_dedup, lm_scoring, ngram_jaccard, packing, pii, token_counts
+from vellum.llm import chat, decontamination, embedding_dedup, language_id, lm_scoring, ngram_jaccard, packing, pii, quality, token_counts
 from vellum.llm.common import table
 
 
@@ -14,6 +15,20 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: what they declare is ``lang``, and ``source`` stands for the host."""
+    return language_id.identify(table(spark, sf_dir, "documents"), host="source")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages, with all kinds of evidence: text, markup, address and host."""
+    html = F.col("html")
+    found = language_id.identify(
+        table(spark, sf_dir, "pages"), "page_id", text=language_id.visible_text(html), declared=language_id.markup_language(html), url="url"
+    )
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -26,6 +41,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,18 +66,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_ngram_jaccard,
+            op2_language_id,
             op3_pii,
             op4_best_fit_packing,
             op5_decontamination,
+            op6_quality,
             op7_token_counts,
             op8_chat_formatting,
             op9_embedding_near_dups,
             op10_lm_scoring,
+            language_id_pages,
+            pipeline,
         )
     }
 
