@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from vellum.queries import QUERIES, SQL, analysis, changes, facets, geo, ordering, predicates, relations, relevance  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
