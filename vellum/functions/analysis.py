@@ -128,8 +128,11 @@ def edge_ngrams(tokens: Column, low: int, high: int) -> Column:
 
 
 def shingles(tokens: Column, size: int = 2) -> Column:
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: i <= F.size(tokens) - size + 1)
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
+    """Neighbouring tokens joined by spaces; the shifted arrays are made once, not once a place."""
+    n = F.size(tokens)
+    shifted = [F.slice(tokens, k + 1, F.greatest(n - size + 1, F.lit(0))).alias(f"s{k}") for k in range(size)]
+    rows = F.filter(F.arrays_zip(*shifted), lambda x: x[f"s{size - 1}"].isNotNull())
+    return F.transform(rows, lambda x: F.concat_ws(" ", *[x[f"s{k}"] for k in range(size)]))
 
 
 def cjk_bigrams(text: Column) -> Column:

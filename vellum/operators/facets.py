@@ -21,7 +21,7 @@ def _best(counts: DataFrame, n: int) -> DataFrame:
 
 def multi_valued(rows: DataFrame, dim: str, n: int = 7) -> DataFrame:
     """As ``flat`` over an array column; a row counts once for each distinct value."""
-    labels = rows.select(F.explode(F.array_distinct(dim)).cast("string").alias("label")).where("label is not null")
+    labels = rows.select(F.explode(F.array_distinct(dim)).alias("label")).where("label is not null").select(F.col("label").cast("string"))
     return _best(labels.groupBy("label").agg(F.count("*").alias("count")), n)
 
 

@@ -67,6 +67,15 @@ def count_of(tokens: Column, term: str) -> Column:
     return F.coalesce(F.size(F.filter(tokens, lambda t: t == term)), F.lit(0))
 
 
+def _shifted(tokens: Column, by: int) -> Column:
+    """The array whose place i holds the token at i + by."""
+    if by == 0:
+        return tokens
+    if by > 0:
+        return F.slice(tokens, by + 1, F.greatest(F.size(tokens), F.lit(0)))
+    return F.concat(F.array_repeat(F.lit(None).cast("string"), -by), tokens)
+
+
 class Query:
     """A node: ``compile`` gives its match (boolean column) and its score (double)."""
 
@@ -99,29 +108,28 @@ class Phrase(Query):
 
     def compile(self, ctx):
         tok = ctx.tokens(self.field)
-        slots = [t if isinstance(t, (list, tuple)) else [t] for t in self.terms]
-        places = self.places or list(range(len(slots)))
-        last = places[-1] - places[0]
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tok), F.lit(1)))
+        slots = [list(t) if isinstance(t, (list, tuple)) else [t] for t in self.terms]
+        places = [p - (self.places or [0])[0] for p in (self.places or range(len(slots)))]
+        # shifted copies of the token array side by side: a row of the zip holds what surrounds one place
+        shifts = sorted({p + d for p in places for d in range(-self.slop, self.slop + 1)})
+        around = F.arrays_zip(*[_shifted(tok, k).alias(f"s{k}") for k in shifts])
 
-        def at(i: Column, words: list[str]) -> Column:
-            return F.when((i >= 1) & (i <= F.size(tok)), F.get(tok, i - 1).isin(words)).otherwise(F.lit(False))
+        def at(x: Column, k: int, words: list[str]) -> Column:
+            return F.coalesce(x[f"s{k}"].isin(words), F.lit(False))
 
         if self.slop == 0:
-            hits = F.filter(starts, lambda i: reduce(lambda a, b: a & b, [at(i + (p - places[0]), w) for p, w in zip(places, slots)]) & (i + last <= F.size(tok)))
+            hits = F.filter(around, lambda x: reduce(lambda a, b: a & b, [at(x, p, w) for p, w in zip(places, slots)]))
             freq = F.coalesce(F.size(hits), F.lit(0))
         else:
             # for each place of the first word, the least total shift of the others
-            none = self.slop + 1
-
-            def shift(i: Column, p: int, words: list[str]) -> Column:
-                best = F.lit(none)
+            def shift(x: Column, p: int, words: list[str]) -> Column:
+                best = F.lit(self.slop + 1)
                 for d in range(self.slop, 0, -1):
-                    best = F.when(at(i + (p + d), words) | at(i + (p - d), words), d).otherwise(best)
-                return F.when(at(i + p, words), 0).otherwise(best)
+                    best = F.when(at(x, p + d, words) | at(x, p - d, words), d).otherwise(best)
+                return F.when(at(x, p, words), 0).otherwise(best)
 
-            first = F.filter(starts, lambda i: at(i, slots[0]))
-            costs = F.transform(first, lambda i: reduce(lambda a, b: a + b, [shift(i, p - places[0], w) for p, w in list(zip(places, slots))[1:]], F.lit(0)))
+            first = F.filter(around, lambda x: at(x, 0, slots[0]))
+            costs = F.transform(first, lambda x: reduce(lambda a, b: a + b, [shift(x, p, w) for p, w in list(zip(places, slots))[1:]], F.lit(0)))
             freq = F.coalesce(F.aggregate(F.filter(costs, lambda c: c <= self.slop), F.lit(0.0), lambda a, c: a + 1 / (1 + c)), F.lit(0.0))
         parts = [reduce(lambda a, b: a | b, [F.array_contains(tok, x) for x in w]) for w in slots]
         freq, score = ctx.scored(self.field, freq, [F.coalesce(p, F.lit(False)) for p in parts])
@@ -202,18 +210,27 @@ class Where(Query):
         return F.coalesce(self.condition, F.lit(False)), F.lit(float(self.score))
 
 
-def Range(column: str, low=None, high=None) -> Where:
-    """Both ends included; a missing end is open."""
-    ok = F.col(column).isNotNull()
-    if low is not None:
-        ok = ok & (F.col(column) >= F.lit(low))
-    if high is not None:
-        ok = ok & (F.col(column) <= F.lit(high))
-    return Where(ok)
+@dataclass
+class Range(Query):
+    """Values of a plain column; both ends included, a missing end is open."""
 
+    column: str
+    low: object = None
+    high: object = None
 
-def MatchAll() -> Where:
-    return Where(F.lit(True))
+    def compile(self, ctx):
+        ok = F.col(self.column).isNotNull()
+        if self.low is not None:
+            ok = ok & (F.col(self.column) >= F.lit(self.low))
+        if self.high is not None:
+            ok = ok & (F.col(self.column) <= F.lit(self.high))
+        return ok, F.lit(1.0)
+
+
+@dataclass
+class MatchAll(Query):
+    def compile(self, ctx):
+        return F.lit(True), F.lit(1.0)
 
 
 @dataclass

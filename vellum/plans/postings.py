@@ -29,8 +29,9 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an
 def frequencies(docs: DataFrame, text_col: str = "text", analyzer=analysis.standard) -> DataFrame:
     """``(term, df, tf)`` of all texts; counts combine before the shuffle."""
     tok = docs.select(analyzer(F.col(text_col)).alias("tok"))
-    first = tok.select(F.explode(F.transform(F.array_sort("tok"), lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(F.array_sort("tok"), i - 1) != t)).cast("int").alias("new")))).alias("x"))
-    return first.groupBy("x.term").agg(F.sum("x.new").cast("long").alias("df"), F.count("*").alias("tf"))
+    every = F.transform("tok", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf")))
+    once = F.transform(F.array_distinct("tok"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf")))
+    return tok.select(F.explode(F.concat(every, once)).alias("x")).groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.tf").alias("tf"))
 
 
 @dataclass

@@ -63,40 +63,40 @@ _E = "e AS (SELECT p_name AS text, max(CAST(round(p_retailprice * 100) AS BIGINT
 _N = r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ')"
 
 
-@query(f"WITH {_E} SELECT text, weight, payload FROM e WHERE starts_with({_N}, 'part 1') ORDER BY lower(text) = 'part 1' DESC, weight DESC, text LIMIT 8")
+@query(f"WITH {_E} SELECT text, weight, payload FROM e WHERE starts_with({_N}, 'small r') ORDER BY lower(text) = 'small r' DESC, weight DESC, text LIMIT 8")
 def suggest_prefix(spark, sf):
-    return suggest.by_prefix(_parts(spark, sf), "Part 1", 8)
+    return suggest.by_prefix(_parts(spark, sf), "Small r", 8)
 
 
 @query(
     rf"WITH {_E}, k AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS tok FROM e) "
-    "SELECT text, weight, payload FROM k WHERE list_contains(tok, 'part') AND len(list_filter(tok, lambda x: starts_with(x, '2'))) > 0 ORDER BY weight DESC, text LIMIT 6"
+    "SELECT text, weight, payload FROM k WHERE list_contains(tok, 'red') AND len(list_filter(tok, lambda x: starts_with(x, 'g'))) > 0 ORDER BY weight DESC, text LIMIT 6"
 )
 def suggest_infix(spark, sf):
-    return suggest.by_infix(_parts(spark, sf), "part 2", 6)
+    return suggest.by_infix(_parts(spark, sf), "red g", 6)
 
 
 @query(
-    f"""WITH {_E} SELECT text, weight, payload FROM e WHERE starts_with({_N}, 'p') AND list_min(list_transform([5, 6, 7], lambda k: levenshtein({_N}[1:k], 'prt 12'))) <= 1
-    ORDER BY lower(text) = 'prt 12' DESC, weight DESC, text LIMIT 5"""
+    f"""WITH {_E} SELECT text, weight, payload FROM e WHERE starts_with({_N}, 's') AND list_min(list_transform([5, 6, 7], lambda k: levenshtein({_N}[1:k], 'smll r'))) <= 1
+    ORDER BY lower(text) = 'smll r' DESC, weight DESC, text LIMIT 5"""
 )
 def suggest_fuzzy(spark, sf):
-    return suggest.fuzzy(_parts(spark, sf), "prt 12", 5)
+    return suggest.fuzzy(_parts(spark, sf), "smll r", 5)
 
 
 @query(
-    f"WITH {_E}, c AS (SELECT min(p_type) AS x FROM part) SELECT text, weight, payload FROM e, c WHERE starts_with({_N}, 'p') AND list_contains(contexts, x) ORDER BY lower(text) = 'p' DESC, weight DESC, text LIMIT 5"
+    f"WITH {_E}, c AS (SELECT max(p_type) AS x FROM part) SELECT text, weight, payload FROM e, c WHERE starts_with({_N}, 's') AND list_contains(contexts, x) ORDER BY lower(text) = 's' DESC, weight DESC, text LIMIT 5"
 )
 def suggest_context(spark, sf):
-    first = table(spark, sf, "part").agg(F.min("p_type")).first()[0]
-    return suggest.by_prefix(_parts(spark, sf), "p", 5, contexts=[first])
+    first = table(spark, sf, "part").agg(F.max("p_type")).first()[0]
+    return suggest.by_prefix(_parts(spark, sf), "s", 5, contexts=[first])
 
 
 @query(
-    rf"""WITH {_E}, q AS (SELECT DISTINCT 'part ' || (p_size % 10) AS typed FROM part),
-    r AS (SELECT typed, text, weight, CAST(row_number() OVER (PARTITION BY typed ORDER BY weight DESC, text) AS INTEGER) AS place FROM q JOIN e ON starts_with({_N}, typed))
+    rf"""WITH {_E}, q AS (SELECT DISTINCT p_name[1:5] AS typed FROM part),
+    r AS (SELECT typed, text, weight, CAST(row_number() OVER (PARTITION BY typed ORDER BY weight DESC, text) AS INTEGER) AS place FROM q JOIN e ON starts_with({_N}, trim(typed)))
     SELECT typed, place, text, weight FROM r WHERE place <= 3"""
 )
 def suggest_completions(spark, sf):
-    typed = table(spark, sf, "part").select(F.concat(F.lit("part "), (F.col("p_size") % 10).cast("string")).alias("typed"))
+    typed = table(spark, sf, "part").select(F.substring("p_name", 1, 5).alias("typed"))
     return suggest.completions(_parts(spark, sf), typed, 3)
