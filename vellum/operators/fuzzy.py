@@ -21,7 +21,7 @@ def damerau(a: str, b: str, most: int) -> int:
             row.append(cost)
         if min(row) > most:
             return most + 1
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def expand(terms: DataFrame, term: str, edits: int = 2, prefix: int = 0, most: int = 50) -> DataFrame:
