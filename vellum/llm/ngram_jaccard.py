@@ -30,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import connected_components, materialize, small_or_shuffled
+from vellum.llm.common import connected_components, materialize, slices, small_or_shuffled
 from vellum.llm.shingles import mix, shingle_set
 
-GROUPS = 64
+GROUPS = 256
 LEAF = 16
 #: Bytes of text for a bucket of the shared-shingle count.
 BUCKET_BYTES = 12_000_000
+#: Documents that a task works on at once.
+DOCS = 1_000
 #: Most points of one part of a block.
 PART = 2_000
 #: Candidates that the first round keeps for each point of a leaf; the second round has no such limit.
@@ -58,23 +61,24 @@ def counts(s: np.ndarray) -> np.ndarray:
 
 # --- 1. shared shingles -------------------------------------------------------
 
-_ENTRY = "bucket int, docs array<long>, lens array<int>, data binary"
+_ENTRY = "bucket int, chunk long, docs array<long>, lens array<int>, data binary"
 
 
 def _entries(buckets: int, salt: int = 0):
-    """Batches of (doc_id, text) to entries of buckets.
+    """Batches of (doc_id, text) to entries of buckets; a chunk is what a task worked on at once.
 
     Bucket -1 - k tells sizes (docs, lens), -2^30 - k tells what was found shared
-    within the batch; both stand for themselves. A shingle that several
-    documents of the batch hold goes on once, without a document.
+    within the chunk; both stand for themselves. A shingle that several
+    documents of the chunk hold goes on once, without a document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, batch in enumerate(batches):
+        for at, batch in enumerate(slices(batches, DOCS)):
             ids = batch.column(0).to_pylist()
             sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
-            out: list[tuple] = [(-1 - at % 4096, ids, n.tolist(), b"")]
+            chunk = (TaskContext.get().partitionId() << 32) + at
+            out: list[tuple] = [(-1 - at % 4096, chunk, ids, n.tolist(), b"")]
             keep = np.array([i for i, d in enumerate(ids) if d is not None and n[i]], np.int64)
             if len(keep):
                 h = np.concatenate([sets[i] for i in keep])
@@ -87,7 +91,7 @@ def _entries(buckets: int, salt: int = 0):
                 dup[order[:-1][same]] = True
                 local = np.bincount(row[dup], minlength=len(ids))
                 has = np.flatnonzero(local)
-                out.append((-(2**30) - at % 4096, [ids[i] for i in has], local[has].tolist(), b""))
+                out.append((-(2**30) - at % 4096, chunk, [ids[i] for i in has], local[has].tolist(), b""))
                 held = ~first  # one of each
                 h, row, dup = h[held], np.where(dup[held], -1, row[held]), dup[held]
                 bucket = (h >> np.uint64(32)).astype(np.int64) % buckets
@@ -96,37 +100,59 @@ def _entries(buckets: int, salt: int = 0):
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(bucket)]):
                     r, c = np.unique(row[lo:hi], return_counts=True)
-                    out.append((int(bucket[lo]), [ids[i] if i >= 0 else None for i in r], c.tolist(), data[lo:hi].tobytes()))
+                    out.append((int(bucket[lo]), chunk, [ids[i] if i >= 0 else None for i in r], c.tolist(), data[lo:hi].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))],
-                names=["bucket", "docs", "lens", "data"],
+                [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))],
+                names=["bucket", "chunk", "docs", "lens", "data"],
             )
 
     return run
 
 
+_ANSWER = "chunk long, docs array<long>, n array<long>, shared array<long>"
+
+
 def _shared_of(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """An entry group to (doc_id, n, shared)."""
-    docs = t.column("docs").combine_chunks().flatten()
-    lens = t.column("lens").combine_chunks().flatten().to_numpy().astype(np.int64)
+    """A bucket's entries to answers for the chunks that they came from, one row each."""
     bucket = key[0].as_py()
+    docs, lens = t.column("docs").combine_chunks(), t.column("lens").combine_chunks()
     if bucket < 0:
-        zero = np.zeros(len(lens), np.int64)
+        zero = pa.array([[0] * len(x) for x in lens], pa.list_(pa.int64()))
         n, shared = (zero, lens) if bucket <= -(2**30) else (lens, zero)
-        return pa.table({"doc_id": docs, "n": n, "shared": shared})
+        return pa.table({"chunk": t.column("chunk"), "docs": docs, "n": n.cast(pa.list_(pa.int64())), "shared": shared.cast(pa.list_(pa.int64()))})
+    size = lens.flatten().to_numpy().astype(np.int64)
     h = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("data").to_pylist()])
     _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-    entry = np.repeat(np.arange(len(lens)), lens)
-    found = np.bincount(entry[times[inverse] > 1], minlength=len(lens))
-    known = docs.is_valid().to_numpy(zero_copy_only=False) & (found > 0)
-    return pa.table({"doc_id": docs.filter(pa.array(known)), "n": np.zeros(known.sum(), np.int64), "shared": found[known]})
+    entry = np.repeat(np.arange(len(size)), size)
+    found = np.bincount(entry[times[inverse] > 1], minlength=len(size))
+    ids = docs.flatten()
+    known = ids.is_valid().to_numpy(zero_copy_only=False) & (found > 0)
+    row = np.repeat(np.arange(len(docs)), np.diff(docs.offsets.to_numpy()))[known]
+    offsets = pa.array(np.searchsorted(row, np.arange(len(docs) + 1)), pa.int32())
+    of = lambda values: pa.ListArray.from_arrays(offsets, values)
+    return pa.table({"chunk": t.column("chunk"), "docs": of(ids.filter(pa.array(known))), "n": of(pa.array(np.zeros(len(row), np.int64))), "shared": of(pa.array(found[known]))})
+
+
+def _sum_chunk(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """The answers to a chunk, added up by document."""
+    docs = t.column("docs").combine_chunks().flatten()
+    n, shared = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("n", "shared"))
+    u = docs.dictionary_encode()
+    code = u.indices.fill_null(len(u.dictionary)).to_numpy(zero_copy_only=False)
+    k = len(u.dictionary) + 1
+    most = np.zeros(k, np.int64)
+    np.maximum.at(most, code, n)
+    rows = np.flatnonzero(np.bincount(code, minlength=k))
+    ids = pa.concat_arrays([u.dictionary, pa.nulls(1, pa.int64())]).take(pa.array(rows))
+    return pa.table({"doc_id": ids, "n": most[rows], "shared": np.bincount(code, weights=shared, minlength=k).astype(np.int64)[rows]})
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
     """``(doc_id, n, shared)``: size of each set and how many of its shingles others hold too."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     entries = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_entries(max(8, -(-size // BUCKET_BYTES))), _ENTRY)
-    each = entries.groupBy("bucket").applyInArrow(_shared_of, "doc_id long, n long, shared long")
+    answers = entries.groupBy("bucket").applyInArrow(_shared_of, _ANSWER)
+    each = answers.groupBy("chunk").applyInArrow(_sum_chunk, "doc_id long, n long, shared long")
     return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
 
 
@@ -134,7 +160,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, DOCS):
         sets = [shingle_set(x).tobytes() for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())],
@@ -149,7 +175,7 @@ def _set_entries(buckets: int):
     """Sets to (bucket, sids, lens, data): their shingles by bucket."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, DOCS):
             sids = batch.column(0).to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not sets:
@@ -211,22 +237,33 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(c: np.ndarray) -> bytes:
+    """A point in half a byte for each coordinate, or one, or four, as its counts need."""
+    if c.max(initial=0) < 16:
+        return (c[::2] | c[1::2] << 4).astype(np.uint8).tobytes()
+    return c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()
+
+
+def _unpacked(points: list[bytes]) -> np.ndarray:
+    out = np.empty((len(points), GROUPS), np.int32)
+    for row, p in zip(out, points):
+        if len(p) == GROUPS // 2:
+            half = np.frombuffer(p, np.uint8)
+            row[::2], row[1::2] = half & 15, half >> 4
+        else:
+            row[:] = np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32)
+    return out.astype(np.int16) if out.max(initial=0) < 2**15 else out
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for s in batch.column(2).to_pylist():
-            c = counts(np.frombuffer(s, np.uint64))
-            out.append(c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes())
+        out = [_packed(counts(np.frombuffer(s, np.uint64))) for s in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["sid", "n", "point"])
 
 
 # --- 4. the R-tree in a block ---------------------------------------------------
 
 
-def _unpack(points: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32) for p in points]).astype(np.int32)
-
-
 def _passes(overlap, n, m):
     """Whether so much overlap allows a similarity of 0.8 for sets of n and m."""
     return 9 * overlap >= 4 * (n + m)
@@ -263,17 +300,17 @@ def block_pairs(n: np.ndarray, v: np.ndarray, group: np.ndarray, left: np.ndarra
             others = [k]
         else:
             # box against box: upper corners bound the overlap of anything in them
-            bound = np.minimum(upper[k], upper[k:]).sum(axis=1)
+            bound = np.minimum(upper[k], upper[k:]).sum(axis=1, dtype=np.int64)
             fits = _passes(bound, small[k], small[k:]) & (5 * large[k:] >= 4 * small[k]) & (5 * large[k] >= 4 * small[k:])
             fits &= ~((one[k:] == one[k]) & (one[k] >= 0))
             others = np.flatnonzero(fits) + k
         for m in others:
             y = leaves[m]
             # each point of this leaf against the other leaf's box, then against its points
-            near = own[_passes(np.minimum(v[own], upper[m]).sum(axis=1), n[own], small[m])]
+            near = own[_passes(np.minimum(v[own], upper[m]).sum(axis=1, dtype=np.int64), n[own], small[m])]
             if not len(near):
                 continue
-            bound = np.minimum(v[near][:, None, :], v[y][None, :, :]).sum(axis=2)
+            bound = np.minimum(v[near][:, None, :], v[y][None, :, :]).sum(axis=2, dtype=np.int64)
             a, b = n[near][:, None], n[y][None, :]
             ok = _passes(bound, a, b) & (5 * a >= 4 * b) & (5 * b >= 4 * a) & (group[near][:, None] != group[y][None, :])
             ok &= (left[near][:, None] & right[y][None, :]) | (right[near][:, None] & left[y][None, :])
@@ -304,7 +341,7 @@ def _search(nearest: int | None):
         if len(roots) < 2:
             return []
         part = np.array(part)
-        i, j = block_pairs(np.array(n, np.int64), _unpack(point), np.array([roots[r] for r in root]), part == p[0], part == q[0], nearest)
+        i, j = block_pairs(np.array(n, np.int64), _unpacked(point), np.array([roots[r] for r in root]), part == p[0], part == q[0], nearest)
         return [(min(sid[x], sid[y]), max(sid[x], sid[y])) for x, y in zip(i.tolist(), j.tolist())]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
