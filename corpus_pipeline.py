@@ -19,31 +19,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontamination, language_id, ngram_jaccard, packing, pii
-from vellum.llm.common import materialize, small_or_shuffled, table
+from vellum.llm.common import materialize, small_batches, small_or_shuffled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id.keep_identified(docs, host="source").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     joined = ngram_jaccard.ngram_jaccard_join(docs)
     gone = materialize(joined.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")))
     return docs.join(small_or_shuffled(gone, gone.count()), docs.doc_id == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     done = pii.redact(docs)
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

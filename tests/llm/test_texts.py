@@ -286,6 +286,15 @@ def test_pages_use_markup_address_and_host(spark):
     assert len(rows) == pages.count() and sum(r.lang == declared[r.doc_id] for r in rows) > 0.8 * len(rows)
 
 
+def test_plain_prose_that_the_sample_never_showed_is_kept(spark, docs):
+    prose = "The committee met on the last day of the month and agreed that the report about water in the region was to be read again before the next meeting."
+    others = ["Комитет собрался в последний день месяца и решил прочитать отчёт ещё раз", "委員会は月の最後の日に集まり、報告書をもう一度読むことにした"]
+    more = spark.createDataFrame([(9001 + i, t, None, None, 1) for i, t in enumerate([prose, *others])], docs.schema)
+    got = {r.doc_id: r for r in language_id.identify(docs.unionByName(more), host="source").where("doc_id > 9000").collect()}
+    assert got[9001].lang == "en" and got[9001].kept
+    assert not got[9002].kept and not got[9003].kept
+
+
 def test_address_hints(spark):
     df = spark.createDataFrame([("http://a.example.com/fr/1",), ("https://x.de/",), ("http://x.org/",), (None,), ("http://A.B.co.fr:80/x",)], "url string")
     got = df.select(language_id.hint_of(F.col("url"), ["fr", "de"]).alias("h"), language_id.host_of(F.col("url")).alias("o")).collect()

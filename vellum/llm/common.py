@@ -35,7 +35,7 @@ def materialize(df: DataFrame) -> DataFrame:
     depend on executors that may be lost.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +47,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(lo, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long: rows go to Python in batches of so many, which bounds the buffers of both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,6 +35,9 @@ UND = "und"
 OVERLAP = 4.0
 #: Strength of the smoothing of host towards domain and of domain towards corpus, in documents.
 STRENGTH = 20.0
+#: Share of a language's model that its own n-grams have; the rest is even, so that
+#: words which the sample never showed count little against a language.
+FAMILIAR = 0.5
 GROUP = 256
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -91,7 +94,7 @@ def train(docs: DataFrame, text: Column, label: Column, rows: int = TRAIN_ROWS)
     parts = sample.select(label.alias("l"), text.cast("binary").alias("t")).mapInArrow(count, "l string, counts binary")
     got = {r.l: np.frombuffer(r.counts, np.int64) for r in parts.groupBy("l").applyInArrow(add, "l string, counts binary").collect()}  # a row a language
     names = [n for n in names if n in got]
-    table = np.stack([np.log((got[n] + 0.2) / (got[n].sum() + 0.2 * SLOTS)) for n in names] + [np.full(SLOTS, -np.log(SLOTS))], axis=1) if names else np.zeros((SLOTS, 1))
+    table = np.stack([np.log(FAMILIAR * got[n] / max(1, got[n].sum()) + (1 - FAMILIAR) / SLOTS) for n in names] + [np.full(SLOTS, -np.log(SLOTS))], axis=1) if names else np.zeros((SLOTS, 1))
     return names, table.astype(np.float32)
 
 

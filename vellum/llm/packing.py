@@ -34,7 +34,7 @@ from vellum.llm.common import materialize
 CAPACITY = 2_048
 GROUPS = 2_048
 #: Words whose tokens a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Documents that are encoded together.
 BATCH = 256
 
