@@ -390,3 +390,41 @@ def test_model_is_a_distribution():
         lm_scoring._step(m.class_w, c, kind // lm_scoring.SIZE)
     p = lm_scoring._softmax(m.class_w, c)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and p[np.arange(len(h)), kind // lm_scoring.SIZE].mean() > before
+
+
+def test_both_words_before_tell_what_neither_tells():
+    """After a a and b b comes x, after a b and b a comes y: only the pair of words tells which."""
+    rng = np.random.default_rng(2)
+    first, second = rng.integers(0, 2, (2, 4000))
+    last = 2 + (first ^ second)
+    codes = np.array([101, 102, 103, 104], np.uint64)
+    h = codes[np.stack([first, second, last], axis=1).ravel()]
+    words, counts = np.unique(h, return_counts=True)
+    m = lm_scoring.Model(words, counts, len(h), len(words))
+    cls = m.type_of(h, m.place(h)) // lm_scoring.SIZE
+    c, _ = lm_scoring._rows(lm_scoring._features(h, np.arange(0, len(h), 3)), cls)
+    for _ in range(100):
+        lm_scoring._step(m.class_w, c, cls)
+    assert lm_scoring._softmax(m.class_w, c)[np.arange(2, len(h), 3), cls[2::3]].min() > 0.75
+
+
+def test_sizes_of_the_model_follow_the_tokens():
+    assert lm_scoring.sizes(0) == lm_scoring.sizes(lm_scoring.SMALL) == (32, 32, 8_192, 16_384)
+    before = (32, 32, 8_192, 16_384)
+    for k in (6, 12, 18):
+        now = lm_scoring.sizes(lm_scoring.SMALL << k)
+        assert now[0] * now[1] == before[0] * before[1] * 4 and now[2:] == (before[2] * 8, before[3] * 8)
+        before = now
+    # more rows than 16 bits count; each word with a type of its own, or a tail type
+    m = lm_scoring.Model(np.arange(1, 9_001, dtype=np.uint64), np.arange(9_000)[::-1] + 1, lm_scoring.SMALL << 9, 10_000)
+    h = np.arange(1, 12_001, dtype=np.uint64)
+    kind = m.type_of(h, m.place(h))
+    assert len(np.unique(kind[: m.classes * m.own])) == m.classes * m.own == 7_680
+    assert (kind[7_680:] % m.size >= m.own).all() and kind.max() < m.classes * m.size
+    c, t = m.rows(lm_scoring._features(h, np.array([0])), kind // m.size)
+    for w, rows, target in ((m.class_w, c, kind // m.size), (m.type_w, t, kind % m.size)):
+        assert 1 << 16 < max(r.max() for r in rows) < len(w)
+        assert all((lm_scoring._order(r) == np.argsort(r, kind="stable")).all() for r in rows)
+        before = lm_scoring._softmax(w, rows)[np.arange(len(h)), target].mean()
+        lm_scoring._step(w, rows, target)
+        assert lm_scoring._softmax(w, rows)[np.arange(len(h)), target].mean() > before

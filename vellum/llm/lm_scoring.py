@@ -4,10 +4,11 @@ The model predicts a token in factors: the class of its type given the context,
 the type in the class given the context, and the token in the type. The most
 frequent words are types of their own; the others are hashed into tail types, in
 which a word has its smoothed share of the counts. Class and type have softmax
-distributions over hashed features of the context: the word before and the
-word before that (a skip). Tasks train on their part of the training
+distributions over hashed features of the context: the word before, the word
+before that (a skip), and both. Tasks train on their part of the training
 documents by gradient steps from common weights, and the weights are averaged by
-blocks; every training token is used in each round.
+blocks; every training token is used in each round. The numbers of types and of
+hashed weights follow the counted tokens (``sizes``).
 
 Counts cover the whole corpus and are kept in hash buckets. Frequent words, of
 which there can be at most ``HEAD`` (each has over 1/HEAD of all tokens), are
@@ -29,11 +30,11 @@ from vellum.llm.common import materialize, slices
 from vellum.llm.shingles import hashes, mix, words
 
 HEAD = 131_072
-CLASSES, SIZE = 32, 16
-TAIL = 64
-TOP = CLASSES * SIZE - TAIL
-#: Rows of the hashed weights: of classes, and of types in a class.
+#: Classes and types in a class, of up to ``SMALL`` training tokens; one type in 16 is a tail type.
+CLASSES, SIZE = 32, 32
+#: Rows of the hashed weights of so many: of classes, and of types in a class.
 CLASS_ROWS, TYPE_ROWS = 8_192, 16_384
+SMALL = 1 << 24
 #: Weights are added up without shifting their exponents; this keeps those finite.
 LARGEST = 60.0
 BATCH = 32_768
@@ -44,6 +45,8 @@ DOCS = 1_000
 BUCKET_BYTES = 16_000_000
 #: Rows of a block of weights when they are averaged, and tasks that are averaged at once.
 BLOCK, TASKS = 1_024, 128
+#: Most tasks that train at once: each sends all weights, which grow with the corpus as the tasks do.
+TRAINERS = 512
 END = np.uint64(0x2545F4914F6CDD1D)
 _LOW = np.uint64(2**52 - 1)
 _TF = 12
@@ -99,20 +102,35 @@ def vocabulary(train: DataFrame, buckets: int) -> DataFrame:
     return materialize(parts.groupBy("bucket").applyInArrow(_sum_counts, "bucket int, types long, total long, words binary, counts binary"))
 
 
+def sizes(total: int) -> tuple[int, int, int, int]:
+    """Classes, types in a class, class rows and type rows for so many training tokens.
+
+    Types double with every eightfold of the tokens, rows with every fourfold:
+    a token's work grows with the sixth root of the corpus, the weights with the
+    power 2/3.
+    """
+    doublings = max(1, total // SMALL).bit_length() - 1
+    types, rows = doublings // 3, doublings // 2
+    return CLASSES << types // 2, SIZE << (types + 1) // 2, CLASS_ROWS << rows, TYPE_ROWS << rows
+
+
 class Model:
     """The head of the vocabulary, the types and the weights."""
 
     def __init__(self, words_: np.ndarray, counts: np.ndarray, total: int, types: int):
         order = np.argsort(words_)
         self.words, self.counts, self.total, self.types = words_[order], counts[order], total, types
-        best = np.lexsort((self.words, -self.counts))[:TOP]
+        self.classes, self.size, class_rows, type_rows = sizes(total)
+        self.tail = self.classes * self.size // 16
+        self.own = self.size - self.tail // self.classes  # types of a class that are words
+        best = np.lexsort((self.words, -self.counts))[: self.classes * self.own]
         self.type = np.full(len(self.words), -1, np.int64)
         # frequent words are dealt over the classes in turn, tail types over the ends of the classes
-        self.type[best] = np.arange(len(best)) % CLASSES * SIZE + np.arange(len(best)) // CLASSES
+        self.type[best] = np.arange(len(best)) % self.classes * self.size + np.arange(len(best)) // self.classes
         self.top = np.sort(self.words[best])
-        self.share = np.zeros(CLASSES * SIZE)  # log10 of what a tail type divides by
-        self.class_w = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.type_w = np.zeros((TYPE_ROWS, SIZE), np.float32)
+        self.share = np.zeros(self.classes * self.size)  # log10 of what a tail type divides by
+        self.class_w = np.zeros((class_rows, self.classes), np.float32)
+        self.type_w = np.zeros((type_rows, self.size), np.float32)
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """Places of tokens in the head, -1 for rarer ones."""
@@ -122,11 +140,14 @@ class Model:
         return np.where(self.words[at] == h, at, -1)
 
     def type_of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        tail = (mix(h ^ np.uint64(77)) % np.uint64(TAIL)).astype(np.int64)
-        tail = tail % CLASSES * SIZE + TOP // CLASSES + tail // CLASSES
+        tail = (mix(h ^ np.uint64(77)) % np.uint64(self.tail)).astype(np.int64)
+        tail = tail % self.classes * self.size + self.own + tail // self.classes
         found = np.where(at >= 0, self.type[at] if len(self.type) else -1, -1)
         return np.where(found >= 0, found, tail)
 
+    def rows(self, f: list[np.ndarray], cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return _rows(f, cls, self.classes, len(self.class_w), len(self.type_w))
+
 
 def _features(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Hashes of the context features of each token; contexts do not cross texts."""
@@ -134,21 +155,28 @@ def _features(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     before[first] = 1
     skip = np.r_[np.uint64(1), before[:-1]]
     skip[first] = 2
-    return [mix(before ^ np.uint64(11)), mix(skip ^ np.uint64(22))]
+    return [mix(before ^ np.uint64(11)), mix(skip ^ np.uint64(22)), mix(before * np.uint64(31) + skip)]
 
 
-def _rows(f: list[np.ndarray], cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _rows(f: list[np.ndarray], cls: np.ndarray, classes: int = CLASSES, class_rows: int = CLASS_ROWS, type_rows: int = TYPE_ROWS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Rows of the class weights and of the type weights; the first rows of each are the ones without context."""
-    c = [np.zeros(len(cls), np.uint16), *((1 + x % np.uint64(CLASS_ROWS - 1)).astype(np.uint16) for x in f)]
+    kind = np.uint16 if max(class_rows, type_rows) <= 1 << 16 else np.uint32
+    c = [np.zeros(len(cls), kind), *((1 + x % np.uint64(class_rows - 1)).astype(kind) for x in f)]
     shift = cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    t = [cls.astype(np.uint16), *((CLASSES + ((x + shift) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(TYPE_ROWS - CLASSES)).astype(np.uint16) for x in f)]
+    t = [cls.astype(kind), *((classes + ((x + shift) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(type_rows - classes)).astype(kind) for x in f)]
     return c, t
 
 
+def _order(r: np.ndarray) -> np.ndarray:
+    """The stable order of rows, by radix sorts of 16 bits."""
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    return order if r.dtype == np.uint16 else order[np.argsort((r[order] >> 16).astype(np.uint16), kind="stable")]
+
+
 def _softmax(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = w[rows[0]]
+    z = w.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += w[r]
+        z += w.take(r, axis=0)
     np.minimum(z, LARGEST, out=z)
     np.exp(z, out=z)
     z /= np.einsum("ij->i", z)[:, None]
@@ -160,11 +188,14 @@ def _step(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
     g = _softmax(w, rows)
     g[np.arange(len(target)), target] -= 1
     for r in rows:
-        order = np.argsort(r, kind="stable")  # 16-bit rows: a radix sort
+        if not r.any():  # the row without context, alone
+            w[0] -= (RATE * g.sum(axis=0) / (len(r) + 4)).astype(np.float32)
+            continue
+        order = _order(r)
         s = r[order]
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         n = np.diff(np.r_[start, len(s)])[:, None]
-        w[s[start]] -= (RATE * np.add.reduceat(g[order], start, axis=0) / (n + 4)).astype(np.float32)
+        w[s[start]] -= (RATE * np.add.reduceat(g.take(order, axis=0), start, axis=0) / (n + 4)).astype(np.float32)
 
 
 def _train(sent):
@@ -178,8 +209,8 @@ def _train(sent):
             kind = model.type_of(h, model.place(h))
             for lo in range(0, len(h), BATCH):
                 part = slice(lo, lo + BATCH)
-                cls, inner = kind[part] // SIZE, kind[part] % SIZE
-                c, t = _rows([x[part] for x in f], cls)
+                cls, inner = kind[part] // model.size, kind[part] % model.size
+                c, t = model.rows([x[part] for x in f], cls)
                 _step(cw, c, cls)
                 _step(tw, t, inner)
             seen += len(h)
@@ -224,7 +255,7 @@ def train_model(train: DataFrame, vocab: DataFrame, rounds: int = ROUNDS) -> Mod
     def tails(batches):
         model = sent.value
         for batch in batches:
-            n, v = np.zeros(CLASSES * SIZE), np.zeros(CLASSES * SIZE)
+            n, v = np.zeros(len(model.share)), np.zeros(len(model.share))
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
                 kind = model.type_of(w, model.place(w))
@@ -233,24 +264,24 @@ def train_model(train: DataFrame, vocab: DataFrame, rounds: int = ROUNDS) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n.astype(np.int64)), pa.array(v.astype(np.int64))], names=["type", "n", "v"])
 
     sums = vocab.select("words", "counts").mapInArrow(tails, "type int, n long, v long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    freq, kinds = np.zeros(CLASSES * SIZE), np.zeros(CLASSES * SIZE)
+    freq, kinds = np.zeros(len(model.share)), np.zeros(len(model.share))
     for r in sums.collect():  # a row a type
         freq[r.type], kinds[r.type] = r.n, r.v
-    tail = np.arange(CLASSES * SIZE) % SIZE >= TOP // CLASSES
+    tail = np.arange(len(freq)) % model.size >= model.own
     model.share = np.where(tail, np.log10(freq + kinds + 1), 0.0)
-    by_class = (freq + 1).reshape(CLASSES, SIZE)
+    by_class = (freq + 1).reshape(model.classes, model.size)
     model.class_w[0] = np.log(by_class.sum(axis=1) / by_class.sum())
-    model.type_w[:CLASSES] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
+    model.type_w[: model.classes] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
     for _ in range(rounds if total else 0):
         sent = spark.sparkContext.broadcast(model)
         schema = "block int, team int, seen long, weights binary"
-        parts = train.select(F.col("text").cast("binary")).mapInArrow(_train(sent), schema)
+        parts = train.select(F.col("text").cast("binary")).coalesce(TRAINERS).mapInArrow(_train(sent), schema)
         parts = parts.groupBy("block", "team").applyInArrow(_average, schema).groupBy("block").applyInArrow(_average, schema)
-        got = {r.block: np.frombuffer(r.weights, np.float16) for r in parts.collect()}  # the weights, of fixed size
+        got = {r.block: np.frombuffer(r.weights, np.float16) for r in parts.collect()}  # the weights, whose size is known from the tokens
         flat = [got[k] for k in sorted(got)]
-        cut = CLASS_ROWS // BLOCK
-        model.class_w = np.concatenate(flat[:cut]).reshape(CLASS_ROWS, CLASSES).astype(np.float32)
-        model.type_w = np.concatenate(flat[cut:]).reshape(TYPE_ROWS, SIZE).astype(np.float32)
+        cut = len(model.class_w) // BLOCK
+        model.class_w = np.concatenate(flat[:cut]).reshape(model.class_w.shape).astype(np.float32)
+        model.type_w = np.concatenate(flat[cut:]).reshape(model.type_w.shape).astype(np.float32)
     return model
 
 
@@ -277,14 +308,14 @@ def _ask(sent, buckets: int):
             score = np.zeros(len(h))
             for lo in range(0, len(h), BATCH):
                 part = slice(lo, lo + BATCH)
-                cls, inner = kind[part] // SIZE, kind[part] % SIZE
-                c, t = _rows([x[part] for x in f], cls)
+                cls, inner = kind[part] // model.size, kind[part] % model.size
+                c, t = model.rows([x[part] for x in f], cls)
                 k = np.arange(len(cls))
                 p = _softmax(model.class_w, c)[k, cls].astype(np.float64) * _softmax(model.type_w, t)[k, inner]
                 score[part] = np.log10(np.maximum(p, 1e-30)) - model.share[kind[part]]
             head = place >= 0
             logs = np.where(head, np.log10(model.counts[place] + 1.0) if len(model.counts) else 0.0, 0.0)
-            in_tail = head & (kind % SIZE >= TOP // CLASSES)
+            in_tail = head & (kind % model.size >= model.own)
             score += np.where(in_tail, logs, 0.0)
             rows, chunk = row + np.arange(len(docs)), row
             row += len(docs)
