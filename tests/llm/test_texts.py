@@ -241,6 +241,27 @@ def test_base_spans_against_plain_matching(personal):
     assert sum("secret:" in r.spans for r in got) > 20
 
 
+def test_numbers_and_secrets_without_three_digits_in_a_row(spark):
+    cards = ["41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "4 1-11 1-11 1-11 1-11 1-11", "pay 41-11-11-11-11-11-11-11 now"]
+    numbers = ["41 11 11 11 11 11 11 12", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-2"]
+    secrets = ["ghp_aB1cD2eF3gH4iJ5kL6mN7", "token ghp_aBcDeFgHiJkLmNoPqRsT7"]
+    texts = [*cards, *numbers, *secrets]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        t = texts[r.doc_id]
+        assert (r.n_card, r.base_sha256) == (t in cards, hashlib.sha256(base_text(t).encode()).hexdigest())
+    base = pii.base_spans(F.col("text"))
+    found = {r.text: {pii.KINDS[c.k] for c in r.c} for r in df.select("text", pii.candidates(F.col("text"), base).alias("c")).collect()}
+    assert all("account" in found[t] for t in numbers) and all("secret" in found[t] for t in secrets)
+    # each kind's guard holds for every match of its pattern
+    r = random.Random(7)
+    digits = [r.choice(["", " ", "-"]).join(r.choice("0123456789") for _ in range(r.randint(12, 19))) for _ in range(50)]
+    alone = spark.createDataFrame([(t,) for t in texts + digits], "text string")
+    for kind in ("card", "account", "secret"):
+        match = F.size(pii.spans_of(F.col("text"), pii.PATTERNS[kind])) > 0
+        assert alone.where(match).count() > 0 and alone.where(match & ~pii._guard(F.col("text"), kind)).count() == 0
+
+
 def test_pii_runs_no_python(docs):
     plan = pii.find_pii(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

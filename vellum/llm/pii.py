@@ -123,6 +123,10 @@ def _guard(text: Column, kind: str) -> Column:
         return F.contains(text, F.lit("+"))
     if kind == "name":
         return text.rlike(r"(?:Mr|Ms|Dr|Prof)")
+    if kind in ("card", "account"):
+        return text.rlike("[0-9][ -]?[0-9][ -]?[0-9]")
+    if kind == "secret":
+        return text.rlike("[0-9]")
     return text.rlike("[0-9]{3}" if kind != "ip" else r"[0-9]\.[0-9]")
 
 
