@@ -337,6 +337,29 @@ def test_language_edge_cases(odd, none, docs):
     assert {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect()) and kept.columns == both.columns
 
 
+def tongue(k):
+    """A made-up language with its own words."""
+    r = random.Random(k)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 8))) for _ in range(30)]
+    return lambda i: " ".join(random.Random(f"{k} {i}").choices(words, k=30))
+
+
+def test_a_rare_language_in_a_large_table_is_modelled(spark):
+    common, rare = tongue(1), tongue(2)
+    rows = [(i, common(i), "aa") for i in range(4000)] + [(9000 + i, rare(i), "zz" if i < 8 else None) for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df, train_rows=100).collect()}
+    assert all(got[i].lang == ("zz" if i >= 9000 else "aa") and got[i].kept for i, _, _ in rows)
+
+
+def test_a_language_beyond_the_bound_is_taken_as_declared(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(100 * k + i, tongue(k)(i), f"l{k}") for k in range(3) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert all(got[i].lang == x and got[i].kept for i, _, x in rows)
+
+
 # --- quality ------------------------------------------------------------------------
 
 

@@ -10,8 +10,8 @@ The posterior of a document's language multiplies
   corpus; a document's own share is taken out of all three.
 
 Texts are scored once; what follows are grouped sums over the scores. Models of
-text are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``); every
-other number covers all documents.
+text are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``), shared out
+evenly over the languages; every other number covers all documents.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ from vellum.llm.common import materialize, small_or_shuffled
 
 #: About so many labelled rows train the models of text.
 TRAIN_ROWS = 20_000
-#: Most languages that are modelled: the most frequent labels.
-LANGUAGES = 64
+#: So many labelled rows of a language train at least, if it has them.
+LEAST_ROWS = 50
+#: Most languages that are modelled, the most frequent labels: far above what corpora label.
+#: A document that declares a rarer one keeps it, unless a modelled language wins.
+LANGUAGES = 512
 SLOTS = 1 << 16
 UND = "und"
 #: Overlapping n-grams repeat their evidence: so many count as one.
@@ -64,38 +67,48 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return slot[np.cumsum(keep[:-1]) > 0], n
 
 
-def train(docs: DataFrame, text: Column, label: Column, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the table of log probabilities ``(slots, languages + 1)``, ``und`` last."""
-    labelled = docs.where(label.isNotNull() & text.isNotNull())
-    tally = labelled.groupBy(label.alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+def train(docs: DataFrame, id_: Column, text: Column, label: Column, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and the table of log probabilities ``(slots, languages + 1)``, ``und`` last.
+
+    Each language has about as many rows in the sample, or all of its rows if it
+    has fewer; the row with the least hash is always among them.
+    """
+    hashed = F.pmod(F.xxhash64(id_.cast("string"), text), F.lit(1 << 52))
+    labelled = docs.where(label.isNotNull() & text.rlike(r"\S")).select(label.alias("l"), text.cast("binary").alias("t"), hashed.alias("h"))
+    tally = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
     names = sorted(r.l for r in tally)
     if not names:
         return [], np.zeros((SLOTS, 1), np.float32)
-    share = min(1.0, rows / sum(r.n for r in tally))
-    sample = labelled.where(label.isin(names)).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))
+    each = max(LEAST_ROWS, rows / len(names))
+    # hashes up to here are in the sample; at most LANGUAGES rows
+    upto = docs.sparkSession.createDataFrame([(r.l, max(r.h, int(min(1.0, each / r.n) * (1 << 52)))) for r in tally], "l string, upto long")
+    sample = labelled.join(F.broadcast(upto), "l").where("h <= upto").select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), SLOTS), np.int64)
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             labels = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            for k, name in enumerate(names):
+            for name in sorted(set(labels)):
                 slot, _ = grams([t for t, x in zip(texts, labels) if x == name])
-                total[k] += np.bincount(slot, minlength=SLOTS)
-        used = [k for k in range(len(names)) if total[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in used], pa.string()), pa.array([total[k].tobytes() for k in used], pa.binary())], names=["l", "counts"])
+                if len(slot):
+                    total.setdefault(name, np.zeros(SLOTS, np.int32))
+                    total[name] += np.bincount(slot, minlength=SLOTS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["l", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         total = np.zeros(SLOTS, np.int64)
         for x in t.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
+            total += np.frombuffer(x, np.int32)
         return pa.table({"l": pa.array([key[0].as_py()], pa.string()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = sample.select(label.alias("l"), text.cast("binary").alias("t")).mapInArrow(count, "l string, counts binary")
+    parts = sample.mapInArrow(count, "l string, counts binary")
     got = {r.l: np.frombuffer(r.counts, np.int64) for r in parts.groupBy("l").applyInArrow(add, "l string, counts binary").collect()}  # a row a language
     names = [n for n in names if n in got]
-    table = np.stack([np.log(FAMILIAR * got[n] / max(1, got[n].sum()) + (1 - FAMILIAR) / SLOTS) for n in names] + [np.full(SLOTS, -np.log(SLOTS))], axis=1) if names else np.zeros((SLOTS, 1))
-    return names, table.astype(np.float32)
+    table = np.full((SLOTS, len(names) + 1), -np.log(SLOTS) if names else 0.0, np.float32)
+    for k, n in enumerate(names):
+        table[:, k] = np.log(FAMILIAR * got[n] / max(1, got[n].sum()) + (1 - FAMILIAR) / SLOTS)
+    return names, table
 
 
 def _score(sent):
@@ -148,13 +161,11 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"<[^>]*>", " ")
 
 
-def _evidence(given: Column, names: list[str], rates: dict[str, list[float]]) -> Column:
-    """``array``: log likelihoods of what is given under each language; even where it is not known."""
-    even = F.array(*[F.lit(0.0)] * (len(names) + 1))
-    out = even
-    for value, logs in sorted(rates.items()):
-        out = F.when(given == value, F.array(*[F.lit(x) for x in logs])).otherwise(out)
-    return F.coalesce(out, even)
+def _with_evidence(scored: DataFrame, given: str, size: int, rates: dict[str, list[float]]) -> DataFrame:
+    """``scored`` with the log likelihoods of what is given under each language; even where it is not known."""
+    rows = scored.sparkSession.createDataFrame(sorted(rates.items()), f"{given} string, __logs array<double>")  # a row a language
+    logs = F.coalesce("__logs", F.array_repeat(F.lit(0.0), size)).alias(f"of_{given}")
+    return scored.join(F.broadcast(rows), given, "left").select(*scored.columns, logs)
 
 
 def _softmax(scores: Column) -> Column:
@@ -183,14 +194,15 @@ def identify(
     language beats ``und``. Null, empty and letterless texts have no
     evidence of their own; they get ``und`` and are not kept. Null hints, hosts
     and addresses count as not known. If no row declares a language, nothing is
-    modelled: ``lang`` is null and rows are kept. Repeated rows and null ids
+    modelled: ``lang`` is null and rows are kept. A declared language beyond the
+    ``LANGUAGES`` most frequent is taken as declared where ``und`` would win. Repeated rows and null ids
     stay; an empty table gives none.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     none = F.lit(None).cast("string")
     text, declared = col(text).cast("string"), col(declared).cast("string") if declared is not None else none
     url = col(url) if url is not None else none
-    names, table = train(docs, text, declared, train_rows)
+    names, table = train(docs, F.col(id_col), text, declared, train_rows)
     if not names:
         return docs.select(F.col(id_col).alias("doc_id"), none.alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("kept"))
     source = col(host).cast("string") if host is not None else host_of(url)
@@ -219,8 +231,10 @@ def identify(
             count[all_names.index(r.g), r.l] += r.n
         p = (count + 1) / (count.sum(axis=0, keepdims=True) + len(all_names))
         rates[given] = {g: np.log(p[i]).tolist() for i, g in enumerate(all_names)} if seen else {}
-    own = _add(_add(F.col("ll"), _evidence(F.col("declared"), names, rates["declared"])), _evidence(F.col("hint"), names, rates["hint"]))
     size = len(all_names)
+    for given in ("declared", "hint"):
+        scored = _with_evidence(scored, given, size, rates[given])
+    own = _add(_add(F.col("ll"), F.col("of_declared")), F.col("of_hint"))
     mine = scored.withColumn("own", own).withColumn("p", F.when(F.col("empty"), F.array(*[F.lit(0.0)] * size)).otherwise(_softmax(F.col("own"))))
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(size)]
     hosts = materialize(mine.groupBy("host", "domain").agg(*sums))
@@ -242,6 +256,8 @@ def identify(
     post = _softmax(F.zip_with("own", prior, lambda x, q: x + F.ln(q)))
     out = fused.withColumn("post", post).withColumn("confidence", F.array_max("post"))
     best = F.array(*[F.lit(n) for n in all_names])[F.array_position("post", F.col("confidence")).cast("int") - 1]
+    # declared, but beyond the modelled languages: nothing else can tell of it
+    best = F.when((best == UND) & ~F.col("declared").isin(all_names), F.col("declared")).otherwise(best)
     lang = F.when(F.col("empty"), F.lit(UND)).otherwise(best)
     return out.select("doc_id", lang.alias("lang"), F.when(F.col("empty"), F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"), (lang != UND).alias("kept"))
 
