@@ -8,19 +8,26 @@ least 0.8. The join is exact; every step works on all documents:
    leave. This counts truncated hashes in hash buckets: a collision can only
    keep a document, never lose one.
 2. Equal sets become one node, so copies never meet in pairs.
-3. Sets that link share one of their ``n - ceil(0.8 n) + 1`` rarest shingles.
-   Those shingles are the blocks in which partners are searched.
+3. Sets that link share one of their ``n - ceil(0.8 n) + 1`` rarest shingles,
+   in any order of shingles that all sets agree on. Those shingles are the
+   blocks in which partners are searched. A set has ranks for its blocks, the
+   rarest first.
 4. In a block each set is a point: shingles are hashed into groups, and the
-   coordinates count the shingles of each group. An R-tree packs the points;
-   the sum of coordinate minima bounds the overlap, against a box (its upper
-   corner) as well as against a point. Pairs that pass are verified on the sets.
-5. Only components are wanted, so the search goes in two rounds. The first
-   compares each point with the points of its own leaf. The second searches
-   the whole tree, but only between sets that are not connected by then;
-   blocks of one component drop out. No pair that could connect is skipped.
-
-Large blocks are cut in parts, and parts are compared in pairs on different
-tasks. Nothing but counts of rows comes to the driver.
+   coordinates count the shingles of each group. An R-tree packs the points,
+   level upon level; the sum of coordinate minima bounds the overlap, of boxes
+   (by their upper corners) as well as of points. Pairs that pass are verified
+   on the sets themselves.
+5. Only components are wanted, so the search goes in rounds. Each looks only at
+   blocks in which several components meet, and a block names the best pairs
+   that would join its components, one less than there are components. The
+   first round takes the rarest blocks of a set and what is near in the tree;
+   the second all blocks and the whole tree. Blocks of which a named pair
+   proved false name more: a few partners for each point, and at last every
+   pair of points of different components. No pair that could connect is skipped.
+
+Large blocks are cut in parts. Points of the component that most points of the
+block belong to stay in one part each; the others visit all parts. Nothing but
+counts of rows comes to the driver.
 """
 
 from __future__ import annotations
@@ -38,15 +45,22 @@ from vellum.llm.common import connected_components, materialize, slices, small_o
 from vellum.llm.shingles import mix, shingle_set
 
 GROUPS = 256
+#: Children of a node of the tree.
 LEAF = 16
 #: Bytes of text for a bucket of the shared-shingle count.
 BUCKET_BYTES = 12_000_000
-#: Documents that a task works on at once.
+#: Documents that a task works on at once, and shingles of the sets that it works on at once.
 DOCS = 1_000
-#: Most points of one part of a block.
+SHINGLES = 1_000_000
+#: Points of one part of a block.
 PART = 2_000
-#: Candidates that the first round keeps for each point of a leaf; the second round has no such limit.
-NEAREST = 2
+#: Blocks of a set that the first round takes.
+FIRST = 2
+#: Partners of a point that the third round names; the last round has no such limit.
+NEAREST = 8
+#: Pairs of points or boxes that are compared at once.
+COMPARED = 8_192
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def need(n: np.ndarray | int):
@@ -59,17 +73,36 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
 
 
+def _set_id(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], names=list(kinds))
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if len(x):
+        cut = np.flatnonzero(np.diff(x)) + 1
+        yield from zip(np.r_[0, cut].tolist(), np.r_[cut, len(x)].tolist())
+
+
 # --- 1. shared shingles -------------------------------------------------------
 
-_ENTRY = "bucket int, chunk long, docs array<long>, lens array<int>, data binary"
+_ENTRY = "bucket int, chunk long, docs array<long>, sids array<binary>, rows binary, lens binary, data binary"
+_ENTRY_KINDS = {"bucket": pa.int32(), "chunk": pa.int64(), "docs": pa.list_(pa.int64()), "sids": pa.list_(pa.binary()), "rows": pa.binary(), "lens": pa.binary(), "data": pa.binary()}
+_NOBODY = 0xFFFF
 
 
-def _entries(buckets: int, salt: int = 0):
+def _entries(buckets: int):
     """Batches of (doc_id, text) to entries of buckets; a chunk is what a task worked on at once.
 
-    Bucket -1 - k tells sizes (docs, lens), -2^30 - k tells what was found shared
-    within the chunk; both stand for themselves. A shingle that several
-    documents of the chunk hold goes on once, without a document.
+    An entry has the rows of the chunk that hold shingles of the bucket, how many
+    each, and the shingles' lower halves. A shingle that several rows of the chunk
+    hold goes on once, for nobody. One entry with a negative bucket of its own
+    tells ids, sets, sizes and what was found shared within the chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,163 +111,157 @@ def _entries(buckets: int, salt: int = 0):
             sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
             chunk = (TaskContext.get().partitionId() << 32) + at
-            out: list[tuple] = [(-1 - at % 4096, chunk, ids, n.tolist(), b"")]
-            keep = np.array([i for i, d in enumerate(ids) if d is not None and n[i]], np.int64)
-            if len(keep):
-                h = np.concatenate([sets[i] for i in keep])
-                row = np.repeat(keep, n[keep])
-                order = np.argsort(h, kind="stable")
-                same = h[order][1:] == h[order][:-1]
-                dup = np.zeros(len(h), bool)
-                dup[order[1:][same]] = True
-                first = dup.copy()
-                dup[order[:-1][same]] = True
-                local = np.bincount(row[dup], minlength=len(ids))
-                has = np.flatnonzero(local)
-                out.append((-(2**30) - at % 4096, chunk, [ids[i] for i in has], local[has].tolist(), b""))
-                held = ~first  # one of each
-                h, row, dup = h[held], np.where(dup[held], -1, row[held]), dup[held]
-                bucket = (h >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.lexsort((row, bucket))
-                bucket, row, data = bucket[order], row[order], (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                cut = np.flatnonzero(np.diff(bucket)) + 1
-                for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(bucket)]):
-                    r, c = np.unique(row[lo:hi], return_counts=True)
-                    out.append((int(bucket[lo]), chunk, [ids[i] if i >= 0 else None for i in r], c.tolist(), data[lo:hi].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))],
-                names=["bucket", "chunk", "docs", "lens", "data"],
-            )
+            h = np.concatenate([np.zeros(0, np.uint64), *sets])
+            row = np.repeat(np.arange(len(sets)), n)
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            dup = np.zeros(len(h), bool)
+            dup[order[1:][same]] = True
+            first = dup.copy()
+            dup[order[:-1][same]] = True
+            local = np.bincount(row[dup], minlength=len(ids))
+            own = -1 - int(mix(np.array([chunk], np.uint64))[0] % np.uint64(2**30))
+            out: list[tuple] = [(own, chunk, ids, [_set_id(s) for s in sets], n.astype("<u4").tobytes(), local.astype("<u4").tobytes(), b"")]
+            held = ~first  # one of each
+            h, row = h[held], np.where(dup[held], _NOBODY, row[held])
+            bucket = (h >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.lexsort((row, bucket))
+            bucket, row, data = bucket[order], row[order], (h[order] & _LOW).astype("<u4")
+            for lo, hi in _runs(bucket):
+                r, c = np.unique(row[lo:hi], return_counts=True)
+                out.append((int(bucket[lo]), chunk, None, None, r.astype("<u2").tobytes(), c.astype("<u4").tobytes(), data[lo:hi].tobytes()))
+            yield _batch(out, _ENTRY_KINDS)
 
     return run
 
 
-_ANSWER = "chunk long, docs array<long>, n array<long>, shared array<long>"
+_ANSWER = "chunk long, docs array<long>, sids array<binary>, rows binary, shared binary"
 
 
 def _shared_of(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """A bucket's entries to answers for the chunks that they came from, one row each."""
-    bucket = key[0].as_py()
-    docs, lens = t.column("docs").combine_chunks(), t.column("lens").combine_chunks()
-    if bucket < 0:
-        zero = pa.array([[0] * len(x) for x in lens], pa.list_(pa.int64()))
-        n, shared = (zero, lens) if bucket <= -(2**30) else (lens, zero)
-        return pa.table({"chunk": t.column("chunk"), "docs": docs, "n": n.cast(pa.list_(pa.int64())), "shared": shared.cast(pa.list_(pa.int64()))})
-    size = lens.flatten().to_numpy().astype(np.int64)
-    h = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("data").to_pylist()])
+    if key[0].as_py() < 0:  # what chunks tell of themselves
+        return t.select(["chunk", "docs", "sids", "rows", "lens"]).rename_columns(["chunk", "docs", "sids", "rows", "shared"])
+    rows = [np.frombuffer(x, "<u2") for x in t.column("rows").to_pylist()]
+    size = np.frombuffer(b"".join(t.column("lens").to_pylist()), "<u4").astype(np.int64)
+    h = np.frombuffer(b"".join(t.column("data").to_pylist()), "<u4")
     _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-    entry = np.repeat(np.arange(len(size)), size)
-    found = np.bincount(entry[times[inverse] > 1], minlength=len(size))
-    ids = docs.flatten()
-    known = ids.is_valid().to_numpy(zero_copy_only=False) & (found > 0)
-    row = np.repeat(np.arange(len(docs)), np.diff(docs.offsets.to_numpy()))[known]
-    offsets = pa.array(np.searchsorted(row, np.arange(len(docs) + 1)), pa.int32())
-    of = lambda values: pa.ListArray.from_arrays(offsets, values)
-    return pa.table({"chunk": t.column("chunk"), "docs": of(ids.filter(pa.array(known))), "n": of(pa.array(np.zeros(len(row), np.int64))), "shared": of(pa.array(found[known]))})
+    found = np.bincount(np.repeat(np.arange(len(size)), size)[times[inverse] > 1], minlength=len(size))
+    out, at = [], 0
+    for chunk, r in zip(t.column("chunk").to_pylist(), rows):
+        f = found[at : at + len(r)]
+        at += len(r)
+        has = (f > 0) & (r != _NOBODY)
+        out.append((chunk, None, None, r[has].tobytes(), f[has].astype("<u4").tobytes()))
+    return pa.Table.from_batches([_batch(out, {"chunk": pa.int64(), "docs": pa.list_(pa.int64()), "sids": pa.list_(pa.binary()), "rows": pa.binary(), "shared": pa.binary()})])
 
 
 def _sum_chunk(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """The answers to a chunk, added up by document."""
-    docs = t.column("docs").combine_chunks().flatten()
-    n, shared = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("n", "shared"))
-    u = docs.dictionary_encode()
-    code = u.indices.fill_null(len(u.dictionary)).to_numpy(zero_copy_only=False)
-    k = len(u.dictionary) + 1
-    most = np.zeros(k, np.int64)
-    np.maximum.at(most, code, n)
-    rows = np.flatnonzero(np.bincount(code, minlength=k))
-    ids = pa.concat_arrays([u.dictionary, pa.nulls(1, pa.int64())]).take(pa.array(rows))
-    return pa.table({"doc_id": ids, "n": most[rows], "shared": np.bincount(code, weights=shared, minlength=k).astype(np.int64)[rows]})
+    """The answers to a chunk, added up by row."""
+    told, shared = None, np.zeros(_NOBODY, np.int64)
+    for docs, sids, rows, found in zip(*(t.column(c).to_pylist() for c in ("docs", "sids", "rows", "shared"))):
+        if docs is not None:
+            told = docs, sids, np.frombuffer(rows, "<u4").astype(np.int64)
+            shared[: len(docs)] += np.frombuffer(found, "<u4")
+        else:
+            np.add.at(shared, np.frombuffer(rows, "<u2"), np.frombuffer(found, "<u4"))
+    docs, sids, n = told
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "sid": pa.array(sids, pa.binary()), "n": n, "shared": shared[: len(docs)]})
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, shared)``: size of each set and how many of its shingles others hold too."""
+    """``(doc_id, sid, n, shared)`` of each row: its set, the size, and how many of its shingles others hold too."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     entries = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_entries(max(8, -(-size // BUCKET_BYTES))), _ENTRY)
     answers = entries.groupBy("bucket").applyInArrow(_shared_of, _ANSWER)
-    each = answers.groupBy("chunk").applyInArrow(_sum_chunk, "doc_id long, n long, shared long")
-    return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    return answers.groupBy("chunk").applyInArrow(_sum_chunk, "doc_id long, sid binary, n long, shared long")
 
 
 # --- 2. sets ------------------------------------------------------------------
 
+_SET = {"chunk": pa.int64(), "doc_id": pa.int64(), "sid": pa.binary(), "n": pa.int32(), "shingles": pa.binary()}
+
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to their sets, dealt into chunks that a task can work on at once."""
+    chunk, held = TaskContext.get().partitionId() << 32, 0
     for batch in slices(batches, DOCS):
-        sets = [shingle_set(x).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())],
-            names=["doc_id", "sid", "n", "shingles"],
-        )
+        out, chunk, held = [], chunk + 1, 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            s = shingle_set(text)
+            if held + len(s) > SHINGLES:
+                yield _batch(out, _SET)
+                out, chunk, held = [], chunk + 1, 0
+            held += len(s)
+            out.append((chunk, doc, _set_id(s), len(s), s.tobytes()))
+        yield _batch(out, _SET)
 
 
 # --- 3. blocks ----------------------------------------------------------------
 
 
-def _set_entries(buckets: int):
-    """Sets to (bucket, sids, lens, data): their shingles by bucket."""
+def _block_key(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The block of a shingle: its bucket and lower half. Shingles that agree in both are one block."""
+    return ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & _LOW).view(np.int64)
 
-    def run(batches):
-        for batch in slices(batches, DOCS):
-            sids = batch.column(0).to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            if not sets:
-                continue
-            h = np.concatenate(sets)
-            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            bucket = (h >> np.uint64(32)).astype(np.int64) % buckets
-            order = np.lexsort((row, bucket))
-            h, row, bucket = h[order], row[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            out = []
-            for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(bucket)]):
-                r, c = np.unique(row[lo:hi], return_counts=True)
-                out.append((int(bucket[lo]), [sids[i] for i in r], c.tolist(), h[lo:hi].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()))],
-                names=["bucket", "sids", "lens", "data"],
-            )
+
+def _questions(buckets: int):
+    """Sets to questions (bucket, chunk, data, times): shingles of a chunk and how many of its sets hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            for a, b in _runs(chunk):
+                keys = np.concatenate([np.zeros(0, np.int64), *(_block_key(np.frombuffer(x, np.uint64), buckets) for x in batch.column(1).slice(a, b - a).to_pylist())])
+                keys, times = np.unique(keys, return_counts=True)
+                out = [(int(keys[lo] >> 32), int(chunk[a]), (keys[lo:hi] & 0xFFFFFFFF).astype("<u4").tobytes(), times[lo:hi].astype("<u4").tobytes()) for lo, hi in _runs(keys >> 32)]
+                yield _batch(out, {"bucket": pa.int32(), "chunk": pa.int64(), "data": pa.binary(), "times": pa.binary()})
 
     return run
 
 
 def _frequencies(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Of a bucket, the shingles that several sets hold: (sid, shingles, holders)."""
-    sids = t.column("sids").combine_chunks().flatten()
-    lens = t.column("lens").combine_chunks().flatten().to_numpy()
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()])
-    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-    times = times[inverse]
-    entry = np.repeat(np.arange(len(lens)), lens)
-    held = times > 1
-    found = np.bincount(entry[held], minlength=len(lens))
-    has = np.flatnonzero(found)
-    cut = np.cumsum(found[has])[:-1]
-    return pa.table(
-        {
-            "sid": sids.take(pa.array(has)),
-            "shingles": pa.array([x.tobytes() for x in np.split(h[held], cut)] if len(has) else [], pa.binary()),
-            "holders": pa.array([x.tobytes() for x in np.split(times[held].astype(np.int64), cut)] if len(has) else [], pa.binary()),
-        }
-    )
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sid, n, point, shingles, holders) to the rarest shingles of a set: (shingle, sid, n, point)."""
-    for batch in batches:
-        out: dict[str, list] = {"shingle": [], "sid": [], "n": [], "point": []}
-        for sid, n, point, parts, times in zip(*(c.to_pylist() for c in batch.columns)):
-            h, k = np.frombuffer(b"".join(parts), np.uint64), np.frombuffer(b"".join(times), np.int64)
-            take = n - need(n) + 1 - (n - len(h))  # those that no other set holds come first
+    """A bucket's questions to answers: of shingles that several sets hold, steps of an eighth of a doubling."""
+    data = [np.frombuffer(x, "<u4") for x in t.column("data").to_pylist()]
+    times = np.frombuffer(b"".join(t.column("times").to_pylist()), "<u4")
+    _, inverse = np.unique(np.concatenate(data), return_inverse=True)
+    total = np.bincount(inverse, weights=times)[inverse]
+    step = np.minimum(255, 8 * np.log2(total)).astype(np.uint8)
+    out, at = [], 0
+    for chunk, h in zip(t.column("chunk").to_pylist(), data):
+        s = step[at : at + len(h)]
+        at += len(h)
+        out.append((chunk, key[0].as_py(), h[s > 0].tobytes(), s[s > 0].tobytes()))
+    return pa.Table.from_batches([_batch(out, {"chunk": pa.int64(), "bucket": pa.int32(), "data": pa.binary(), "steps": pa.binary()})])
+
+
+def _prefixes(buckets: int):
+    """A chunk's sets and the answers to it, to the blocks of each set, the rarest shingles first."""
+
+    def run(key: tuple[pa.Scalar, ...], sets: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, steps = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        if answers.num_rows:
+            data = [np.frombuffer(x, "<u4").astype(np.int64) for x in answers.column("data").to_pylist()]
+            keys = np.concatenate([x | b << 32 for x, b in zip(data, answers.column("bucket").to_pylist())])
+            steps = np.frombuffer(b"".join(answers.column("steps").to_pylist()), np.uint8)
+            order = np.argsort(keys)
+            keys, steps = keys[order], steps[order]
+        out: list[list] = [[], [], [], []]
+        for sid, n, shingles in zip(*(sets.column(c).to_pylist() for c in ("sid", "n", "shingles"))):
+            if not len(keys):
+                break
+            k = np.unique(_block_key(np.frombuffer(shingles, np.uint64), buckets))
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            held = keys[at] == k
+            k, s = k[held], steps[at[held]]
+            take = n - need(n) + 1 - (n - len(k))  # those that no other set holds come first
             if take > 0:
-                pick = h[np.lexsort((h, k))[:take]].view(np.int64)
-                out["shingle"] += pick.tolist()
-                out["sid"] += [sid] * len(pick)
-                out["n"] += [n] * len(pick)
-                out["point"] += [point] * len(pick)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["shingle"], pa.int64()), pa.array(out["sid"], pa.binary()), pa.array(out["n"], pa.int32()), pa.array(out["point"], pa.binary())], names=list(out)
-        )
+                pick = k[np.lexsort((k, s))[:take]]
+                for col, x in zip(out, (pick.tolist(), range(len(pick)), [sid] * len(pick), [n] * len(pick))):
+                    col.extend(x)
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["shingle", "rank", "sid", "n"])
+
+    return run
 
 
 def _packed(c: np.ndarray) -> bytes:
@@ -257,8 +284,7 @@ def _unpacked(points: list[bytes]) -> np.ndarray:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [_packed(counts(np.frombuffer(s, np.uint64))) for s in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["sid", "n", "point"])
+        yield _batch([(s, _packed(counts(np.frombuffer(x, np.uint64)))) for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], {"node": pa.binary(), "point": pa.binary()})
 
 
 # --- 4. the R-tree in a block ---------------------------------------------------
@@ -281,87 +307,129 @@ def pack(n: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.lexsort((v[:, vary[1]], tile))
 
 
-def block_pairs(n: np.ndarray, v: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, nearest: int | None):
+class Tree:
+    """An R-tree over packed points, from the points upward: ``LEAF`` children for each node.
+
+    A node has the upper corner of its box, the least and largest set in it, and
+    the group of its points if they have one in common (else -1).
+    """
+
+    def __init__(self, n: np.ndarray, v: np.ndarray, group: np.ndarray):
+        self.levels = [(v, n, n, group)]
+        while len(self.levels[-1][1]) > LEAF:
+            upper, small, large, one = self.levels[-1]
+            cut = np.arange(0, len(small), LEAF)
+            same = np.minimum.reduceat(one, cut) == np.maximum.reduceat(one, cut)
+            self.levels.append((np.maximum.reduceat(upper, cut), np.minimum.reduceat(small, cut), np.maximum.reduceat(large, cut), np.where(same, one[cut], -1)))
+
+    def fit(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of nodes of a level, which may hold a pair of points that links, and the bounds of their overlap."""
+        upper, small, large, one = self.levels[level]
+        ok = (5 * large[j] >= 4 * small[i]) & (5 * large[i] >= 4 * small[j]) & ((one[i] != one[j]) | (one[i] < 0))
+        at = np.flatnonzero(ok)
+        bound = np.zeros(len(at), np.int64)
+        for lo in range(0, len(at), COMPARED):
+            a, b = i[at[lo : lo + COMPARED]], j[at[lo : lo + COMPARED]]
+            bound[lo : lo + COMPARED] = np.minimum(upper[a], upper[b]).sum(axis=1, dtype=np.int64)
+        good = _passes(bound, small[i[at]], small[j[at]])
+        return at[good], bound[good]
+
+    def pairs(self, below: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (i, j), i < j, of points whose bound passes, with the bounds; with ``below``, only of points that share a node of that level."""
+        top = len(self.levels) - 1
+        size = len(self.levels[top][1])
+        if below is not None and top >= below:
+            top, size = below, len(self.levels[below][1])
+            i = j = np.arange(size)
+        else:
+            i, j = np.triu_indices(size, 0 if top else 1)
+        for level in range(top, -1, -1):
+            at, bound = self.fit(level, i, j)
+            i, j = i[at], j[at]
+            if level:  # to the children of both
+                child = np.arange(LEAF)
+                a, b = (x.ravel() for x in np.broadcast_arrays((LEAF * i)[:, None, None] + child[:, None], (LEAF * j)[:, None, None] + child))
+                last = len(self.levels[level - 1][1])
+                keep = (a < last) & (b < last) & (a < b if level == 1 else a <= b)
+                i, j = a[keep], b[keep]
+        return i, j, bound
+
+
+def _forest(groups: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of edges between groups, the best first, those of the best spanning forest."""
+    label, left, keep = np.arange(groups), np.arange(len(a)), []
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        left, x, y = (z[x != y] for z in (left, x, y))
+        if not len(left):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *keep]))
+        best = np.full(groups, len(left))
+        np.minimum.at(best, x, np.arange(len(left)))
+        np.minimum.at(best, y, np.arange(len(left)))
+        chosen = np.unique(best[best < len(left)])
+        keep.append(left[chosen])
+        x, y = x[chosen], y[chosen]
+        while (label[x] != label[y]).any():
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+
+
+#: Which of the pairs that pass a block names: those that join its groups in the lower tree, in all of it, besides a few for each point, all.
+NEAR, JOINING, FEW, ALL = "near", "joining", "few", None
+
+
+def block_pairs(n: np.ndarray, v: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, named: str | None = ALL):
     """Pairs of places (i, j) in one block whose overlap bound passes and whose groups differ.
 
-    ``left`` and ``right`` mark the two parts that are compared. With
-    ``nearest``, only within leaves, and at most so many partners for a point.
+    A pair is compared if one of it is in ``left`` and the other in ``right``.
     """
     order = pack(n, v)
-    n, v, group, left, right = n[order], v[order], group[order], left[order], right[order]
-    leaves = [np.arange(i, min(i + LEAF, len(n))) for i in range(0, len(n), LEAF)]
-    upper = np.stack([v[x].max(axis=0) for x in leaves])
-    small, large = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
-    one = np.array([group[x[0]] if (group[x] == group[x[0]]).all() else -1 for x in leaves])
-    found_i, found_j = [], []
-    for k, x in enumerate(leaves):
-        own = x[left[x] | right[x]]
-        if nearest is not None:
-            others = [k]
-        else:
-            # box against box: upper corners bound the overlap of anything in them
-            bound = np.minimum(upper[k], upper[k:]).sum(axis=1, dtype=np.int64)
-            fits = _passes(bound, small[k], small[k:]) & (5 * large[k:] >= 4 * small[k]) & (5 * large[k] >= 4 * small[k:])
-            fits &= ~((one[k:] == one[k]) & (one[k] >= 0))
-            others = np.flatnonzero(fits) + k
-        for m in others:
-            y = leaves[m]
-            # each point of this leaf against the other leaf's box, then against its points
-            near = own[_passes(np.minimum(v[own], upper[m]).sum(axis=1, dtype=np.int64), n[own], small[m])]
-            if not len(near):
-                continue
-            bound = np.minimum(v[near][:, None, :], v[y][None, :, :]).sum(axis=2, dtype=np.int64)
-            a, b = n[near][:, None], n[y][None, :]
-            ok = _passes(bound, a, b) & (5 * a >= 4 * b) & (5 * b >= 4 * a) & (group[near][:, None] != group[y][None, :])
-            ok &= (left[near][:, None] & right[y][None, :]) | (right[near][:, None] & left[y][None, :])
-            if m == k:
-                ok &= near[:, None] < y[None, :]
-            if nearest is not None and ok.any():
-                score = np.where(ok, bound / (a + b), -1.0)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
-                few = np.zeros_like(ok)
-                np.put_along_axis(few, best, True, axis=1)
-                ok &= few
-            i, j = np.nonzero(ok)
-            found_i.append(order[near[i]])
-            found_j.append(order[y[j]])
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def _search(nearest: int | None):
-    """Sorted rows (shingle, p, q, part, sid, n, point, root) to candidate pairs, one block after another."""
+    i, j, bound = Tree(n[order], v[order], group[order]).pairs(2 if named == NEAR else None)
+    i, j = order[i], order[j]
+    ok = (left[i] & right[j]) | (right[i] & left[j])
+    i, j, bound = i[ok], j[ok], bound[ok]
+    if named is ALL or len(i) < 2:
+        return i, j
+    by = np.argsort(-bound / (n[i] + n[j]), kind="stable")
+    i, j = i[by], j[by]
+    pick = np.zeros(len(i), bool)
+    pick[_forest(int(group.max()) + 1, group[i], group[j])] = True
+    if named == FEW:
+        for x in (i, j):
+            order = np.argsort(x, kind="stable")
+            start = np.flatnonzero(np.r_[True, np.diff(x[order]) > 0])
+            pick[order] |= np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)])) < NEAREST
+    return i[pick], j[pick]
+
+
+def _search(named: str | None):
+    """Sorted rows (shingle, part, sid, n, root, inside, point) to the pairs that blocks name, one block after another."""
 
     def pairs(rows: list[tuple]) -> list[tuple]:
-        if len(rows) < 2:
-            return []
-        _, p, q, part, sid, n, point, root = zip(*rows)
+        shingle, _, sid, n, root, inside, point = zip(*rows)
         roots = {r: i for i, r in enumerate(dict.fromkeys(root))}
         if len(roots) < 2:
             return []
-        part = np.array(part)
-        i, j = block_pairs(np.array(n, np.int64), _unpacked(point), np.array([roots[r] for r in root]), part == p[0], part == q[0], nearest)
-        return [(min(sid[x], sid[y]), max(sid[x], sid[y])) for x, y in zip(i.tolist(), j.tolist())]
+        every = np.ones(len(rows), bool)
+        i, j = block_pairs(np.array(n, np.int64), _unpacked(point), np.array([roots[r] for r in root]), np.array(inside), every, named)
+        return [(min(sid[x], sid[y]), max(sid[x], sid[y]), shingle[0]) for x, y in zip(i.tolist(), j.tolist())]
 
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        found = list(dict.fromkeys(found))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+    kinds = {"a": pa.binary(), "b": pa.binary(), "shingle": pa.int64()}
 
-    def run(batches):
-        held: list[tuple] = []  # of one part pair of one block
-        found: list[tuple] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # of one part of one block
         for batch in batches:
+            found: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[-1][:3]:
+                if held and row[:2] != held[-1][:2]:
                     found += pairs(held)
                     held = []
                 held.append(row)
-                if len(found) > 200_000:
-                    yield batch_of(found)
-                    found = []
-        found += pairs(held)
-        yield batch_of(found)
+            yield _batch(found, kinds)
+        if held:
+            yield _batch(pairs(held), kinds)
 
     return run
 
@@ -380,23 +448,64 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- 5. the join ----------------------------------------------------------------
 
 
-def _candidates(prefix: DataFrame, roots: DataFrame | None, nearest: int | None) -> DataFrame:
-    rows = prefix if roots is None else prefix.join(roots, prefix.sid == roots.node, "left").drop("node")
-    rows = rows.withColumn("root", F.col("sid") if roots is None else F.coalesce("root", "sid"))
-    blocks = rows.groupBy("shingle").agg(F.count("*").alias("points"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    blocks = blocks.where("r0 != r1").select("shingle", F.ceil(F.col("points") / PART).cast("int").alias("parts"))
-    rows = rows.join(blocks, "shingle").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    # the leaf round looks at parts alone, the full one at each pair of parts
-    other = F.array("part") if nearest is not None else F.sequence(F.lit(0), F.col("parts") - 1)
-    rows = rows.withColumn("o", F.explode(other)).withColumns({"p": F.least("part", "o"), "q": F.greatest("part", "o")})
-    rows = rows.select("shingle", "p", "q", "part", "sid", "n", "point", "root").repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q", "sid")
-    return rows.mapInArrow(_search(nearest), "a binary, b binary").distinct()
+def _meeting(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(shingle, sid, n, root, points, major)``: the rows of blocks in which several components meet."""
+    rows = blocks.select("shingle", "sid", "n", *(["root"] if "root" in blocks.columns else []))
+    if roots is None:
+        rows = rows.withColumn("root", F.col("sid"))
+    else:
+        rows = rows.drop("root").join(roots, rows.sid == roots.node, "left").select("shingle", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    each = rows.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    sizes = each.groupBy("shingle").agg(F.sum("c").alias("points"), F.max_by("root", "c").alias("major"), F.count("*").alias("roots"))
+    return rows.join(sizes.where("roots > 1").drop("roots"), "shingle")
+
+
+def _named(meeting: DataFrame, points: DataFrame, named: str | None) -> DataFrame:
+    """``(a, b, shingle)``: the pairs that the blocks name."""
+    parts = F.ceil(F.col("points") / PART).cast("int")
+    rows = meeting.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("sid"), parts).cast("int")})
+    # the first round looks at each part alone
+    stays = F.lit(True) if named == NEAR else F.col("root") == F.col("major")
+    rows = rows.withColumn("part", F.explode(F.when(stays, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = rows.select("shingle", "part", "sid", "n", "root", (F.col("part") == F.col("own")).alias("inside"))
+    rows = rows.join(points, rows.sid == points.node).drop("node").select("shingle", "part", "sid", "n", "root", "inside", "point")
+    return rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "sid").mapInArrow(_search(named), "a binary, b binary, shingle long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, linked)`` of distinct pairs."""
     x, y = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_verify, "a binary, b binary, linked boolean")
+    return materialize(both.mapInArrow(_verify, "a binary, b binary, linked boolean"))
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, root)`` after more edges."""
+    x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    lifted = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = connected_components(lifted)
+    up = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(old.union(up.join(roots, "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))))
+
+
+def _components(blocks: DataFrame, points: DataFrame, sets: DataFrame, tied: DataFrame) -> DataFrame:
+    """``(node, root)`` of all sets that link with another one or are tied to it."""
+    pairs = _named(_meeting(blocks.where(F.col("rank") < FIRST), None), points, NEAR).select("a", "b").distinct()
+    known = _linked(pairs, sets)
+    roots = materialize(connected_components(known.where("linked").select("a", "b").union(tied)))
+    for named in (JOINING, FEW, ALL):
+        blocks = materialize(_meeting(blocks, roots))
+        found = materialize(_named(blocks, points, named))
+        fresh = found.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        more = _linked(fresh, sets)
+        if more.where("linked").limit(1).count():
+            roots = _joined(roots, more.where("linked").select("a", "b"))
+        known = known.union(more)
+        # a block is done when what it named came true
+        wrong = found.join(known.where("not linked"), ["a", "b"], "left_semi").select("shingle").distinct()
+        blocks = blocks.drop("points", "major").join(wrong, "shingle", "left_semi")
+    return roots
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,36 +520,28 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = materialize(shared_counts(docs))
-    alive = stats.where("doc_id is not null and n > 0 and 5 * shared >= 4 * n").select("doc_id")
-    n_alive = alive.count()
-    kept = docs.join(small_or_shuffled(alive, n_alive), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
-    copies = materialize(kept.mapInArrow(_sets, "doc_id long, sid binary, n int, shingles binary").where("n > 0"))
-    first = copies.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(copies.join(first, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", "shingles"))
-    buckets = max(8, int(sets.agg(F.sum("n")).first()[0] or 0) * 8 // BUCKET_BYTES)
-    shared = sets.select("sid", "shingles").mapInArrow(_set_entries(buckets), "bucket int, sids array<binary>, lens array<int>, data binary")
-    shared = shared.groupBy("bucket").applyInArrow(_frequencies, "sid binary, shingles binary, holders binary")
-    shared = shared.groupBy("sid").agg(F.collect_list(F.struct("shingles", "holders")).alias("x"))
-    points = sets.mapInArrow(_points, "sid binary, n int, point binary")
-    prefix = points.join(shared, "sid").select("sid", "n", "point", "x.shingles", "x.holders")
-    prefix = materialize(prefix.mapInArrow(_prefixes, "shingle long, sid binary, n int, point binary"))
-
-    near = materialize(_linked(_candidates(prefix, None, NEAREST), sets))
+    copies = stats.where("doc_id is not null and n > 0 and 5 * shared >= 4 * n").select("doc_id", "sid")
+    first = materialize(copies.groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    firsts = first.select("doc_id").distinct()
+    texts = docs.join(small_or_shuffled(firsts, first.count()), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
+    sets = texts.mapInArrow(_sets, "chunk long, doc_id long, sid binary, n int, shingles binary")
+    # rows that repeat an id with its text would repeat a set
+    sets = materialize(sets.join(small_or_shuffled(first, first.count()), ["sid", "doc_id"], "left_semi").drop("doc_id"))
+    repeated = sets.groupBy("sid").agg(F.count("*").alias("c"), F.min("chunk").alias("chunk")).where("c > 1")
+    if repeated.limit(1).count():
+        once = sets.join(repeated.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+        sets = materialize(sets.join(repeated.select("sid"), "sid", "left_anti").unionByName(once))
+    buckets = max(8, int(sets.agg(F.sum("n")).first()[0] or 0) * 6 // BUCKET_BYTES)
+    answers = sets.select("chunk", "shingles").mapInArrow(_questions(buckets), "bucket int, chunk long, data binary, times binary")
+    answers = answers.groupBy("bucket").applyInArrow(_frequencies, "chunk long, bucket int, data binary, steps binary")
+    blocks = sets.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_prefixes(buckets), "shingle long, rank int, sid binary, n int")
+    points = materialize(sets.select("sid", "shingles").mapInArrow(_points, "node binary, point binary"))
     # an id with several texts ties their sets
-    tied = copies.groupBy(F.col("doc_id")).agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b")
+    tied = copies.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b")
     tied = copies.join(tied, "doc_id").select(F.col("sid").alias("a"), "b")
-    edges = near.where("linked").select("a", "b").union(tied)
-    roots = connected_components(edges)
-    rest = _candidates(prefix, roots, None).join(near.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, sets).where("linked").select("a", "b"))
-    if more.limit(1).count():
-        lifted = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        up = connected_components(lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        up = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
-            up.join(roots, "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-        )
-    of_doc = copies.select("doc_id", "sid").join(roots, copies.sid == roots.node, "left").select("doc_id", F.coalesce("root", "sid").alias("root"))
+    roots = _components(materialize(blocks), points, sets, tied)
+    of_doc = copies.join(roots, copies.sid == roots.node, "left").select("doc_id", F.coalesce("root", "sid").alias("root"))
     lowest = of_doc.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_doc = of_doc.join(lowest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return stats.join(of_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    sizes = stats.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
+    return sizes.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
