@@ -78,6 +78,36 @@ def test_same_id_with_several_texts(spark):
     assert {i: c for i, (_, c) in result(ngram_jaccard.ngram_jaccard_join(df)).items()} == {1: 1, 2: 1, 3: 1}
 
 
+def test_each_row_of_an_id_is_judged_by_itself(spark):
+    """An id with a long text that nobody shares, and with a short one that is shared."""
+    long, short = " ".join(f"u{i}" for i in range(120)), " ".join(f"s{i}" for i in range(14))
+    rows = [(1, long), (1, short), (2, short), (3, short + " more"), (3, long), (4, "s0 " + short)]
+    got = result(ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {1: (116, 1), 2: (10, 1), 3: (116, 1), 4: (11, 1)}
+
+
+def test_nodes_are_tied_through_shared_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(9)) for c in "abcd"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[2]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (7, texts[3]), (8, texts[1]), (9, texts[1])]
+    got = result(ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 5: 1, 7: 1, 8: 8, 9: 8}
+
+
+def test_near_copies_in_one_large_block(spark, monkeypatch):
+    """Pairs around the threshold, so that bounds pass which sets don't; several parts and rounds."""
+    monkeypatch.setattr(ngram_jaccard, "PART", 24)
+    monkeypatch.setattr(ngram_jaccard, "FIRST", 1)
+    monkeypatch.setattr(ngram_jaccard, "NEAREST", 1)
+    r = random.Random(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        t = list(base)
+        for _ in range(2 + i % 2):
+            t[r.randrange(len(t))] = f"m{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    assert result(ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 @given(st.lists(st.lists(st.integers(0, 6), min_size=8, max_size=8), min_size=2, max_size=40), st.integers(0, 1))
 @settings(max_examples=60, deadline=None)
 def test_tree_finds_every_pair_that_the_bound_allows(points, kind):

@@ -7,7 +7,9 @@ least 0.8. The join is exact; every step works on all documents:
    fewer than 80 % of the shingles are shared by anyone have no partner and
    leave. This counts truncated hashes in hash buckets: a collision can only
    keep a document, never lose one.
-2. Equal sets become one node, so copies never meet in pairs.
+2. Equal sets become one node, named by the least id that has the set, so copies
+   never meet in pairs. An id with several sets may name several of them: they
+   are tied anyway.
 3. Sets that link share one of their ``n - ceil(0.8 n) + 1`` rarest shingles,
    in any order of shingles that all sets agree on. Those shingles are the
    blocks in which partners are searched. A set has ranks for its blocks, the
@@ -179,7 +181,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
 # --- 2. sets ------------------------------------------------------------------
 
-_SET = {"chunk": pa.int64(), "doc_id": pa.int64(), "sid": pa.binary(), "n": pa.int32(), "shingles": pa.binary()}
+_SET = {"chunk": pa.int64(), "node": pa.int64(), "sid": pa.binary(), "n": pa.int32(), "shingles": pa.binary()}
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,7 @@ def _prefixes(buckets: int):
             order = np.argsort(keys)
             keys, steps = keys[order], steps[order]
         out: list[list] = [[], [], [], []]
-        for sid, n, shingles in zip(*(sets.column(c).to_pylist() for c in ("sid", "n", "shingles"))):
+        for node, n, shingles in zip(*(sets.column(c).to_pylist() for c in ("node", "n", "shingles"))):
             if not len(keys):
                 break
             k = np.unique(_block_key(np.frombuffer(shingles, np.uint64), buckets))
@@ -257,9 +259,9 @@ def _prefixes(buckets: int):
             take = n - need(n) + 1 - (n - len(k))  # those that no other set holds come first
             if take > 0:
                 pick = k[np.lexsort((k, s))[:take]]
-                for col, x in zip(out, (pick.tolist(), range(len(pick)), [sid] * len(pick), [n] * len(pick))):
+                for col, x in zip(out, (pick.tolist(), range(len(pick)), [node] * len(pick), [n] * len(pick))):
                     col.extend(x)
-        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["shingle", "rank", "sid", "n"])
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["shingle", "rank", "node", "n"])
 
     return run
 
@@ -284,7 +286,7 @@ def _unpacked(points: list[bytes]) -> np.ndarray:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _batch([(s, _packed(counts(np.frombuffer(x, np.uint64)))) for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], {"node": pa.binary(), "point": pa.binary()})
+        yield _batch([(s, _packed(counts(np.frombuffer(x, np.uint64)))) for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], {"of": pa.int64(), "point": pa.binary()})
 
 
 # --- 4. the R-tree in a block ---------------------------------------------------
@@ -405,18 +407,18 @@ def block_pairs(n: np.ndarray, v: np.ndarray, group: np.ndarray, left: np.ndarra
 
 
 def _search(named: str | None):
-    """Sorted rows (shingle, part, sid, n, root, inside, point) to the pairs that blocks name, one block after another."""
+    """Sorted rows (shingle, part, node, n, root, inside, point) to the pairs that blocks name, one block after another."""
 
     def pairs(rows: list[tuple]) -> list[tuple]:
-        shingle, _, sid, n, root, inside, point = zip(*rows)
+        shingle, _, node, n, root, inside, point = zip(*rows)
         roots = {r: i for i, r in enumerate(dict.fromkeys(root))}
         if len(roots) < 2:
             return []
         every = np.ones(len(rows), bool)
         i, j = block_pairs(np.array(n, np.int64), _unpacked(point), np.array([roots[r] for r in root]), np.array(inside), every, named)
-        return [(min(sid[x], sid[y]), max(sid[x], sid[y]), shingle[0]) for x, y in zip(i.tolist(), j.tolist())]
+        return [(min(node[x], node[y]), max(node[x], node[y]), shingle[0]) for x, y in zip(i.tolist(), j.tolist())]
 
-    kinds = {"a": pa.binary(), "b": pa.binary(), "shingle": pa.int64()}
+    kinds = dict.fromkeys(("a", "b", "shingle"), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of one part of one block
@@ -449,12 +451,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meeting(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``(shingle, sid, n, root, points, major)``: the rows of blocks in which several components meet."""
-    rows = blocks.select("shingle", "sid", "n", *(["root"] if "root" in blocks.columns else []))
+    """``(shingle, node, n, root, points, major)``: the rows of blocks in which several components meet."""
+    rows = blocks.select("shingle", "node", "n")
     if roots is None:
-        rows = rows.withColumn("root", F.col("sid"))
+        rows = rows.withColumn("root", F.col("node"))
     else:
-        rows = rows.drop("root").join(roots, rows.sid == roots.node, "left").select("shingle", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        rows = rows.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
     each = rows.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     sizes = each.groupBy("shingle").agg(F.sum("c").alias("points"), F.max_by("root", "c").alias("major"), F.count("*").alias("roots"))
     return rows.join(sizes.where("roots > 1").drop("roots"), "shingle")
@@ -463,20 +465,20 @@ def _meeting(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _named(meeting: DataFrame, points: DataFrame, named: str | None) -> DataFrame:
     """``(a, b, shingle)``: the pairs that the blocks name."""
     parts = F.ceil(F.col("points") / PART).cast("int")
-    rows = meeting.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("sid"), parts).cast("int")})
+    rows = meeting.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node", "n"), parts).cast("int")})
     # the first round looks at each part alone
     stays = F.lit(True) if named == NEAR else F.col("root") == F.col("major")
     rows = rows.withColumn("part", F.explode(F.when(stays, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    rows = rows.select("shingle", "part", "sid", "n", "root", (F.col("part") == F.col("own")).alias("inside"))
-    rows = rows.join(points, rows.sid == points.node).drop("node").select("shingle", "part", "sid", "n", "root", "inside", "point")
-    return rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "sid").mapInArrow(_search(named), "a binary, b binary, shingle long")
+    rows = rows.select("shingle", "part", "node", "n", "root", (F.col("part") == F.col("own")).alias("inside"))
+    rows = rows.join(points, F.col("node") == F.col("of")).select("shingle", "part", "node", "n", "root", "inside", "point")
+    return rows.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node").mapInArrow(_search(named), "a long, b long, shingle long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, linked)`` of distinct pairs."""
-    x, y = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    """``(a, b, linked)`` of distinct pairs; of a node with several sets, any may link."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_verify, "a binary, b binary, linked boolean"))
+    return materialize(both.mapInArrow(_verify, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -490,12 +492,14 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _components(blocks: DataFrame, points: DataFrame, sets: DataFrame, tied: DataFrame) -> DataFrame:
-    """``(node, root)`` of all sets that link with another one or are tied to it."""
+    """``(node, root)`` of all nodes that link with another one or are tied to it; the root is the least node."""
     pairs = _named(_meeting(blocks.where(F.col("rank") < FIRST), None), points, NEAR).select("a", "b").distinct()
     known = _linked(pairs, sets)
     roots = materialize(connected_components(known.where("linked").select("a", "b").union(tied)))
     for named in (JOINING, FEW, ALL):
         blocks = materialize(_meeting(blocks, roots))
+        if not blocks.limit(1).count():
+            break
         found = materialize(_named(blocks, points, named))
         fresh = found.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         more = _linked(fresh, sets)
@@ -504,7 +508,7 @@ def _components(blocks: DataFrame, points: DataFrame, sets: DataFrame, tied: Dat
         known = known.union(more)
         # a block is done when what it named came true
         wrong = found.join(known.where("not linked"), ["a", "b"], "left_semi").select("shingle").distinct()
-        blocks = blocks.drop("points", "major").join(wrong, "shingle", "left_semi")
+        blocks = blocks.select("shingle", "node", "n").join(wrong, "shingle", "left_semi")
     return roots
 
 
@@ -521,27 +525,27 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = materialize(shared_counts(docs))
     copies = stats.where("doc_id is not null and n > 0 and 5 * shared >= 4 * n").select("doc_id", "sid")
-    first = materialize(copies.groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    firsts = first.select("doc_id").distinct()
-    texts = docs.join(small_or_shuffled(firsts, first.count()), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
-    sets = texts.mapInArrow(_sets, "chunk long, doc_id long, sid binary, n int, shingles binary")
-    # rows that repeat an id with its text would repeat a set
-    sets = materialize(sets.join(small_or_shuffled(first, first.count()), ["sid", "doc_id"], "left_semi").drop("doc_id"))
-    repeated = sets.groupBy("sid").agg(F.count("*").alias("c"), F.min("chunk").alias("chunk")).where("c > 1")
+    first = materialize(copies.groupBy("sid").agg(F.min("doc_id").alias("node")))
+    firsts, count = first.select(F.col("node").alias("doc_id")).distinct(), first.count()
+    texts = docs.join(small_or_shuffled(firsts, count), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
+    sets = texts.mapInArrow(_sets, "chunk long, node long, sid binary, n int, shingles binary")
+    sets = materialize(sets.join(small_or_shuffled(first, count), ["sid", "node"], "left_semi"))
+    # rows that repeat an id with its text repeat a set
+    repeated = materialize(sets.groupBy("sid").agg(F.count("*").alias("c")).where("c > 1").select("sid"))
     if repeated.limit(1).count():
-        once = sets.join(repeated.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-        sets = materialize(sets.join(repeated.select("sid"), "sid", "left_anti").unionByName(once))
+        once = sets.join(repeated, "sid", "left_semi").dropDuplicates(["sid"])
+        sets = materialize(sets.join(repeated, "sid", "left_anti").unionByName(once))
+    sets = sets.drop("sid")
     buckets = max(8, int(sets.agg(F.sum("n")).first()[0] or 0) * 6 // BUCKET_BYTES)
     answers = sets.select("chunk", "shingles").mapInArrow(_questions(buckets), "bucket int, chunk long, data binary, times binary")
     answers = answers.groupBy("bucket").applyInArrow(_frequencies, "chunk long, bucket int, data binary, steps binary")
-    blocks = sets.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_prefixes(buckets), "shingle long, rank int, sid binary, n int")
-    points = materialize(sets.select("sid", "shingles").mapInArrow(_points, "node binary, point binary"))
-    # an id with several texts ties their sets
-    tied = copies.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b")
-    tied = copies.join(tied, "doc_id").select(F.col("sid").alias("a"), "b")
+    blocks = sets.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_prefixes(buckets), "shingle long, rank int, node long, n int")
+    points = materialize(sets.select("node", "shingles").mapInArrow(_points, "of long, point binary"))
+    # an id with several texts ties their nodes
+    of_doc = materialize(copies.join(small_or_shuffled(first, count), "sid").select("doc_id", "node"))
+    tied = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    tied = of_doc.join(tied, "doc_id").select(F.col("node").alias("a"), "b")
     roots = _components(materialize(blocks), points, sets, tied)
-    of_doc = copies.join(roots, copies.sid == roots.node, "left").select("doc_id", F.coalesce("root", "sid").alias("root"))
-    lowest = of_doc.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_doc = of_doc.join(lowest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    of_doc = of_doc.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     sizes = stats.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     return sizes.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
