@@ -93,3 +93,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _digest(e: DataFrame) -> tuple:
     h = F.xxhash64("hi", "lo")
     return tuple(e.agg(F.count("*"), F.sum(h % 1_000_003), F.bit_xor(h)).first())
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that begins like ``name`` and is none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
