@@ -1,11 +1,12 @@
 """Benchmark decontamination: token windows against a broadcast set of test n-grams.
 
 The windows of the benchmark are collected up to a bound of bytes and sent to
-every task as a hash set; each document is cut into words once and its windows
+every task as sorted hashes; each document is cut into words once and its windows
 are looked up, vectorised over a group of documents. A hit of the hash is
 verified on the words themselves. A benchmark beyond the bound is scanned in
-blocks of items that keep to it, and what the blocks find is merged by document,
-so nothing is left out at any size.
+blocks of items that keep to it: each row passes one block after another in the
+same stage and carries along what was found, so nothing is left out at any size
+and no row meets another.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import slices
 
 WINDOW = 10
-#: Most bytes of benchmark text in one broadcast set.
+#: Most bytes of benchmark text in one broadcast set, unless a single item has more.
 BLOCK_BYTES = 16_000_000
 #: Documents that are looked up together.
 GROUP = 512
@@ -37,20 +37,39 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of benchmark items: 10 consecutive words, or all of a shorter item."""
+    """The windows of benchmark items: 10 consecutive words, or all of a shorter item.
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], size: int = WINDOW):
+    A window takes 20 bytes (its hash, where it starts in the stream of word
+    numbers, whose it is); besides there are the distinct words.
+    """
+
+    def __init__(self, items: list[tuple[str | None, bytes | None]], size: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.items: dict[tuple, set] = {}
-        for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
-            k = min(size, len(w))
-            for i in range(len(w) - k + 1 if k else 0):
-                self.items.setdefault(tuple(w[i : i + k]), set()).add(item)
-        self.hashes = {}
-        for k in sorted({len(w) for w in self.items}):
-            m = np.array([w for w in self.items if len(w) == k], np.uint64)
-            self.hashes[k] = np.unique((m * _MUL[:k]).sum(axis=1, dtype=np.uint64))
+        self.names = [name for name, _ in items]
+        stream, starts, at = [], {}, 0
+        for item, (_, text) in enumerate(items):
+            w = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)], np.uint32)
+            if k := min(size, len(w)):
+                first = np.arange(at, at + len(w) - k + 1, dtype=np.int32 if at + len(w) < 2**31 else np.int64)
+                starts.setdefault(k, []).append((first, np.full(len(first), item, np.int32)))
+                stream.append(w)
+                at += len(w)
+        self.stream = np.concatenate([np.zeros(0, np.uint32), *stream])
+        self.windows = {}
+        for k, parts in sorted(starts.items()):
+            first, item = (np.concatenate(x) for x in zip(*parts))
+            h = np.zeros(len(first), np.uint64)
+            for i in range(k):
+                h += self.stream[first + i] * _MUL[i]
+            order = np.argsort(h, kind="stable")
+            self.windows[k] = h[order], first[order], item[order]
+
+    def holders(self, k: int, h: np.uint64, ids: np.ndarray) -> set:
+        """The items that hold this window of k words."""
+        hashes, first, item = self.windows[k]
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        same = (self.stream[first[lo:hi, None] + np.arange(k)] == ids).all(axis=1)
+        return {self.names[x] for x in np.unique(item[lo:hi][same]).tolist()}
 
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, np.ndarray, set]]:
         """For each text: its number of words, the mask of hit words, the items found."""
@@ -64,25 +83,30 @@ class Windows:
         gap = np.r_[0, np.cumsum(ids == 0)]
         mark = np.zeros(len(ids) + 1, np.int64)
         found: list[set] = [set() for _ in texts]
-        for k, hashes in self.hashes.items():
+        seen: dict[bytes, set] = {}
+        for k, (hashes, _, _) in self.windows.items():
             at = np.flatnonzero(gap[k:] == gap[:-k])
             if not len(at):
                 continue
             h = np.zeros(len(at), np.uint64)
             for i in range(k):
                 h += ids[at + i] * _MUL[i]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for p in at[hashes[place] == h].tolist():
-                if items := self.items.get(tuple(ids[p : p + k].tolist())):
+            hit = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+            for p, x in zip(at[hit].tolist(), h[hit]):
+                window = ids[p : p + k]
+                key = window.tobytes()
+                if key not in seen:
+                    seen[key] = self.holders(k, x, window)
+                if seen[key]:
                     mark[p] += 1
                     mark[p + k] -= 1
-                    found[np.searchsorted(start, p, side="right") - 1].update(items)
+                    found[np.searchsorted(start, p, side="right") - 1].update(seen[key])
         hit = np.cumsum(mark) > 0
         return [(int(m), hit[a : a + m], f) for m, a, f in zip(n, start, found)]
 
 
 def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
 
 
 def cut_words(text: bytes, hit: np.ndarray) -> bytes:
@@ -103,8 +127,8 @@ def cut_words(text: bytes, hit: np.ndarray) -> bytes:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[Windows]:
-    """Windows of the items, in blocks that keep to ``limit`` bytes of text (an item is never cut)."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    """Windows of the items, in blocks that keep to about ``limit`` bytes of text (an item is never cut)."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // limit))
     for k in range(blocks):
@@ -126,71 +150,59 @@ def find_contamination(
 
     With ``spans``, also ``clean_text``: the text without the words that
     benchmark windows cover. A null text has no words and is clean; a null or
-    wordless item has no window; repeated rows are scanned each (with a
-    benchmark of several blocks, rows that agree in id and text become one);
-    other columns are ignored; an empty table on either side gives no rows or
-    no hits.
+    wordless item has no window; an item without an id has windows, which hit,
+    but is not counted among the items. Item ids of any type are sorted as
+    strings; rows of one item id are one item. Repeated rows and ids are scanned
+    each; other columns are ignored; an empty table on either side gives no rows
+    or no hits.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    parts = []
+    none = F.lit(None)
+    carried = rows.select("doc_id", "text", none.cast("binary").alias("hits"), none.cast("array<string>").alias("items"), none.cast("long").alias("n"))
     for windows in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(windows)
+        sent = docs.sparkSession.sparkContext.broadcast(windows)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, GROUP):
-                    b = batch.slice(lo, GROUP)
-                    texts = b.column(1).to_pylist()
-                    found = sent.value.scan(texts)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            b.column(0),
-                            pa.array([f[0] for f in found], pa.int64()),
-                            pa.array([np.packbits(f[1]).tobytes() if f[1].any() else None for f in found], pa.binary()),
-                            pa.array([sorted(i for i in f[2] if i is not None) for f in found], pa.list_(pa.int64())),
-                            pa.array([t if spans and f[1].any() else None for t, f in zip(texts, found)], pa.binary()),
-                        ],
-                        names=["doc_id", "n_words", "hits", "items", "hit_text"],
-                    )
-
-        parts.append(rows.mapInArrow(run, f"doc_id {id_type}, n_words long, hits binary, items array<long>, hit_text binary"))
-    if len(parts) > 1:
-        merged = None
-        for part in parts:
-            merged = part if merged is None else merged.unionByName(part)
-
-        def merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            masks = [np.frombuffer(x, np.uint8) for x in g.hits if x is not None]
-            items = sorted({int(i) for x in g["items"] for i in x})
-            texts = [x for x in g.hit_text if x is not None]
-            return pd.DataFrame({"doc_id": [key[0]], "n_words": [key[1]], "hits": [np.bitwise_or.reduce(masks).tobytes() if masks else None], "items": [items], "hit_text": [texts[0] if texts else None]})
-
-        found = merged.groupBy("doc_id", "n_words").applyInPandas(merge, merged.schema)
-    else:
-        found = parts[0]
-
-    @F.pandas_udf("string")
-    def cut(n: pd.Series, hits: pd.Series, text: pd.Series) -> pd.Series:
-        masks = [np.unpackbits(np.frombuffer(h, np.uint8), count=k).astype(bool) for k, h in zip(n, hits)]
-        return pd.Series([None if t is None else cut_words(t, m).decode() for t, m in zip(text, masks)])
-
-    ones = F.aggregate(F.transform(F.sequence(F.lit(1), F.octet_length("hits")), lambda i: F.bit_count(F.conv(F.hex(F.substring("hits", i, 1)), 16, 10).cast("int"))), F.lit(0), lambda a, x: a + x)
-    out = found.withColumn("ids", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
-    shown = [
-        "doc_id",
-        "n_words",
-        F.coalesce(ones, F.lit(0)).cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
-        F.col("hits").isNotNull().alias("contaminated"),
-    ]
-    if not spans:
-        return out.select(*shown)
-    hit = out.where("hits is not null").select(*shown, cut("n_words", "hits", "hit_text").alias("clean_text"))
-    clean = out.where("hits is null").select(*shown, F.lit(None).cast("string").alias("clean_text"))
-    return clean.unionByName(hit)
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, GROUP):
+                hits, items, count = [], [], []
+                for (n, hit, new), old, before in zip(sent.value.scan(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    bits = np.packbits(hit)
+                    if old is not None:
+                        bits |= np.frombuffer(old, np.uint8)
+                    hits.append(bits.tobytes() if bits.any() else None)
+                    items.append(sorted({*(before or []), *(i for i in new if i is not None)}))
+                    count.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(count, pa.int64())],
+                    names=["doc_id", "text", "hits", "items", "n"],
+                )
+
+        carried = carried.mapInArrow(scan, carried.schema)
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [None if x is None else np.unpackbits(np.frombuffer(x, np.uint8)) for x in b.column("hits").to_pylist()]
+            items = b.column("items").to_pylist()
+            cols = [
+                b.column("doc_id"),
+                b.column("n"),
+                pa.array([0 if h is None else int(h.sum()) for h in hits], pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()),
+                pa.array([_digest(x) for x in items], pa.string()),
+                pa.array([h is not None for h in hits], pa.bool_()),
+            ]
+            if spans:
+                texts = b.column("text").to_pylist()
+                cols.append(pa.array([None if h is None else cut_words(t, h[:n].astype(bool)).decode() for t, h, n in zip(texts, hits, b.column("n").to_pylist())], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    kinds = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    kinds += ", clean_text string" if spans else ""
+    names = [x.split()[0] for x in kinds.split(", ")]
+    if spans:
+        return carried.mapInArrow(shown, kinds)
+    return carried.drop("text").mapInArrow(shown, kinds)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
