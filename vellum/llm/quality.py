@@ -2,8 +2,9 @@
 
 Overlapping heuristics vote good, bad or abstain on each document.
 Expectation-maximisation over the counts of vote patterns (at most 3 to the
-number of labelers, whatever the corpus) estimates how accurate each is; the
-posterior of a document's pattern is its label. Posterior labels train a hashed
+number of labelers, whatever the corpus) estimates how accurate each is, on good
+documents and on several kinds of bad ones; the posterior of a document's pattern
+is its label. Posterior labels train a hashed
 linear scorer on words and simple shares of characters, which also judges
 documents on which the heuristics are silent.
 
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm.shingles import hashes, mix
 
+#: About so many texts train the scorer, in so many tasks.
 TRAIN_ROWS = 20_000
+TEAMS = 8
 SLOTS = 1 << 16
 #: Added to the hashed slots: shares of characters and words.
 SHARES = 8
@@ -98,37 +101,55 @@ def patterns(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, ...], i
     return {tuple(r.votes): r.n for r in rows.collect()}  # at most 3^8 rows
 
 
-#: Chances of a good vote where a labeler starts, on good and on bad documents: a
-#: sign of bad text says much, its absence little.
-START = (0.99, 0.6)
+#: Chances of a good vote where the estimate starts: of any labeler on good documents,
+#: of the labeler that knows a kind of bad document on that kind, and of the others on it.
+START = (0.999, 0.1, 0.9)
+#: Documents and votes that are imagined at the start, so that no chance becomes 0 or 1.
 IMAGINED = 10
-#: A labeler calls a good text bad at most so often; else a frequent kind of bad text could pass for a habit of good ones.
-FALSE_ALARM = 0.001
 
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """Share of good documents, and for each labeler the chances of a good vote on good and on bad ones."""
-    says = np.tile(START, (len(LABELERS), 1))
-    good = 0.7
+def kinds_of(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the kinds of documents, good ones first, and each labeler's chances of a good vote on each kind.
+
+    Labelers look for different faults, so their votes on bad documents depend
+    on one another. There are as many kinds of bad documents as labelers, each
+    started with the labeler that knows it; within a kind, votes are taken as
+    independent. Nothing but the start tells kinds apart: all chances are estimated.
+    """
+    n_kinds = len(LABELERS) + 1
+    begin = np.full((len(LABELERS), n_kinds), START[2])
+    begin[:, 0] = START[0]
+    begin[np.arange(len(LABELERS)), 1 + np.arange(len(LABELERS))] = START[1]
+    likely = np.r_[0.7, np.full(len(LABELERS), 0.3 / len(LABELERS))]
+    shares, chances = likely, begin
     if not counts:
-        return good, says
+        return shares, chances
     keys = sorted(counts)
     v, n = np.array(keys), np.array([counts[k] for k in keys], float)
+    good, voted = (v == GOOD).astype(float), (v != SILENT).astype(float)
     for _ in range(rounds):
-        p = posterior(v, good, says)
-        good = float((n @ p + 0.7 * IMAGINED) / (n.sum() + IMAGINED))
-        for k, q in enumerate((n * p, n * (1 - p))):
-            yes, any_ = (q[:, None] * (v == GOOD)).sum(axis=0), (q[:, None] * (v != SILENT)).sum(axis=0)
-            says[:, k] = (yes + START[k] * IMAGINED) / (any_ + IMAGINED)
-        says[:, 0] = np.maximum(says[:, 0], 1 - FALSE_ALARM)
-    return good, says
+        weight = n[:, None] * _kinds(v, shares, chances)
+        shares = (weight.sum(axis=0) + likely * IMAGINED) / (n.sum() + IMAGINED)
+        chances = (good.T @ weight + begin * IMAGINED) / (voted.T @ weight + IMAGINED)
+    return shares, chances
 
 
-def posterior(v: np.ndarray, good: float, says: np.ndarray) -> np.ndarray:
-    odds = np.full(len(v), np.log(good / (1 - good)))
-    for j, (a, b) in enumerate(says):
-        odds += np.where(v[:, j] == GOOD, np.log(a / b), np.where(v[:, j] == BAD, np.log((1 - a) / (1 - b)), 0.0))
-    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+def _kinds(v: np.ndarray, shares: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Chances of the kinds, given patterns of votes."""
+    logs = np.log(shares) + (v == GOOD) @ np.log(chances) + (v == BAD) @ np.log(1 - chances)
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def posterior(v: np.ndarray, shares: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Chances of being good, given patterns of votes."""
+    return _kinds(v, shares, chances)[:, 0]
+
+
+def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """Share of good documents, and for each labeler the chances of a good vote on good and on bad ones."""
+    shares, chances = kinds_of(counts, rounds)
+    return float(shares[0]), np.stack([chances[:, 0], chances[:, 1:] @ shares[1:] / shares[1:].sum()], axis=1)
 
 
 def scores(w: np.ndarray, slots: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -136,11 +157,16 @@ def scores(w: np.ndarray, slots: np.ndarray, values: np.ndarray, starts: np.ndar
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, text_col: str, good: float, says: np.ndarray, rows: int, total: int) -> np.ndarray:
-    """Weights of the scorer, from about ``rows`` texts."""
-    share = min(1.0, rows / max(1, total))
+def train(docs: DataFrame, id_col: str, text_col: str, shares: np.ndarray, chances: np.ndarray, rows: int, total: int) -> np.ndarray:
+    """Weights of the scorer, from about ``rows`` texts.
+
+    The sample goes by a hash of id and text, so copies of a text enter like other
+    rows, and is dealt to ``TEAMS`` tasks, whatever the number of input files.
+    """
     text = F.col(text_col)
-    sample = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))).select(text.cast("binary"))
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(1 << 52))
+    sample = docs.where(text.isNotNull()).select(text.cast("binary").alias("t"), h.alias("h")).where(F.col("h") <= int(min(1.0, rows / max(1, total)) * (1 << 52)))
+    sample = sample.withColumn("team", F.pmod(F.xxhash64("h"), F.lit(TEAMS))).repartition(TEAMS, "team").sortWithinPartitions("h").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, seen = np.zeros(SLOTS + SHARES + 1), 0
@@ -149,23 +175,18 @@ def train(docs: DataFrame, text_col: str, good: float, says: np.ndarray, rows: i
             for _ in range(EPOCHS):
                 for lo in range(0, len(texts), BATCH):
                     votes, slots, values, starts = _features(texts[lo : lo + BATCH])
-                    off = scores(w, slots, values, starts) - posterior(votes, good, says)
+                    off = scores(w, slots, values, starts) - posterior(votes, shares, chances)
                     g = np.bincount(slots, weights=values * np.repeat(off, np.diff(starts)), minlength=len(w))
                     w -= RATE / len(off) * g
             seen += len(texts)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["seen", "w"])
 
-    def mean(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        n, w = np.array(t.column("seen").to_pylist(), float), np.zeros(SLOTS + SHARES + 1)
-        for k, x in zip(n, t.column("w").to_pylist()):
-            w += k * np.frombuffer(x, np.float32)
-        return pa.table({"seen": pa.array([int(n.sum())], pa.int64()), "w": pa.array([(w / n.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    # the sample is bounded, and so is the number of tasks that have some of it
-    parts = sample.mapInArrow(run, "seen long, w binary")
-    got = parts.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(mean, "seen long, w binary").collect()
-    return np.frombuffer(got[0].w, np.float32).astype(float) if got else np.zeros(SLOTS + SHARES + 1)
+    got = sample.mapInArrow(run, "seen long, w binary").collect()  # a row a team at most
+    n = sum(r.seen for r in got)
+    if not got and docs.where(text.rlike(r"\S")).limit(1).count():
+        raise ValueError(f"no text of {total} in the sample of {rows}")
+    return sum((r.seen / n * np.frombuffer(r.w, np.float32).astype(float) for r in got), np.zeros(SLOTS + SHARES + 1))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -174,22 +195,23 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     ``votes`` are those of ``LABELERS``; ``weak_label`` is the posterior of
     being good that they give, ``score`` that of the trained scorer; a row is
     kept if their mean is at least one half. Null and empty texts and those
-    without words are not kept. Repeated rows and
-    null ids stay; other columns are ignored; an empty table gives none.
+    without words are not kept. Repeated rows and null ids stay; other columns
+    are ignored; an empty table gives none. A sample without any text, of a table
+    that has some, is an error.
     """
     counts = patterns(docs, text_col)
-    good, says = estimate(counts)
-    w = train(docs, text_col, good, says, train_rows, sum(counts.values()))
-    sent = docs.sparkSession.sparkContext.broadcast((good, says, w))
+    shares, chances = kinds_of(counts)
+    w = train(docs, id_col, text_col, shares, chances, train_rows, sum(counts.values()))
+    sent = docs.sparkSession.sparkContext.broadcast((shares, chances, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, says, w = sent.value
+        shares, chances, w = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
                 texts = b.column(1).to_pylist()
                 votes, slots, values, starts = _features(texts)
-                weak, score = posterior(votes, good, says), scores(w, slots, values, starts)
+                weak, score = posterior(votes, shares, chances), scores(w, slots, values, starts)
                 kept = ((weak + score) / 2 >= 0.5) & np.array([bool(t and t.strip()) for t in texts])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes.tolist(), pa.list_(pa.int32())), pa.array(weak), pa.array(score), pa.array(kept)], names=["doc_id", "votes", "weak_label", "score", "kept"])
 
