@@ -5,8 +5,14 @@ each length up to the capacity, whatever the size of the corpus.
 
 * Large lengths (over an eighth of the capacity) are sorted into groups of equal
   cardinality and rounded up to the largest length of their group.
-* Configurations over those few sizes are made by best fit decreasing with
-  multiplicities: a configuration is opened once for many sequences.
+* Configurations over those few sizes are optimised: a linear program asks for the
+  fewest sequences, and its columns are made as they are wanted, each by a
+  knapsack over the sizes at their shadow prices. Whole multiples of what it uses
+  are opened; what is left over goes by best fit decreasing, a configuration
+  opened once for many sequences.
+* Few groups make few sizes but waste what they round up, unless small documents
+  fill it. So the scheme is also run with a group for each length, which rounds
+  nothing and has too many sizes for the program; the plan of fewer sequences is taken.
 * Actual lengths take the places of the rounded ones, which leaves slack.
 * Small lengths go, largest first, to the fullest sequences that still hold them.
 
@@ -32,7 +38,9 @@ from pyspark.sql import functions as F
 from vellum.llm.common import materialize
 
 CAPACITY = 2_048
-GROUPS = 2_048
+#: Groups of large lengths, and most columns that the linear program adds.
+GROUPS = 64
+COLUMNS = 300
 #: Words whose tokens a worker remembers.
 REMEMBERED = 500_000
 #: Documents that are encoded together.
@@ -148,11 +156,57 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return out if ids else out.drop("ids")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
+def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is taken, for the dearest configuration."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(sizes.min()), capacity + 1):
+        fits = np.flatnonzero(sizes <= c)
+        worth = best[c - sizes[fits]] + prices[fits]
+        k = int(worth.argmax())
+        best[c], last[c] = (worth[k], fits[k]) if worth[k] > best[c - 1] else (best[c - 1], -1)
+    taken, c = np.zeros(len(sizes), np.int64), capacity
+    while c > 0:
+        if last[c] < 0:
+            c -= 1
+        else:
+            taken[last[c]] += 1
+            c -= sizes[last[c]]
+    return taken
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
+    """``(sequences, how often each size)``: whole multiples of an optimal fractional packing, never more than ``counts``."""
+    if not 0 < len(sizes) <= GROUPS:
+        return []
+    size, need = np.array(sizes), np.array(counts, float)
+    basis = np.diag(capacity // size).astype(float)  # a column for each size alone
+    for _ in range(COLUMNS):
+        taken = _knapsack(size, np.maximum(0, np.linalg.solve(basis.T, np.ones(len(size)))), capacity)
+        prices = np.linalg.solve(basis.T, np.ones(len(size)))
+        if taken @ prices <= 1 + 1e-9:
+            break
+        step, now = np.linalg.solve(basis, taken), np.linalg.solve(basis, need)
+        out = np.where(step > 1e-9, now / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(out.argmin())] = taken
+    often = np.floor(np.maximum(0, np.linalg.solve(basis, need)) + 1e-9).astype(np.int64)
+    left, found = np.array(counts), []
+    for k in np.argsort(-often, kind="stable"):
+        column = np.rint(basis[:, k]).astype(np.int64)
+        most = min([int(often[k]), *(left[column > 0] // column[column > 0]).tolist()])
+        if most > 0:
+            found.append((most, column.tolist()))
+            left -= most * column
+    return found
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int | None = None) -> list[tuple[int, list[int]]]:
     """Runs ``(sequences, lengths)`` that hold just the pieces of ``histogram``.
 
-    Deterministic; its work depends on the capacity, not on the counts.
+    By default the better of the plans with ``GROUPS`` groups and with one for
+    each length. Deterministic; its work depends on the capacity, not on the counts.
     """
+    if groups is None:
+        return min((plan(histogram, capacity, g) for g in (GROUPS, max(histogram.values(), default=1) * capacity)), key=lambda runs: sum(bins for bins, _ in runs))
     whole = histogram.get(capacity, 0)
     runs: list[tuple[int, list[int]]] = [(whole, [capacity])] if whole else []
     left = {n: c for n, c in histogram.items() if c and n < capacity}
@@ -163,6 +217,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     sizes: list[tuple[int, int, list[list[int]]]] = []  # rounded size, pieces, [length, count] from long to short
     held: list[list[int]] = []
     room = share
+
+    def close() -> None:
+        """Ends a group; groups of the same rounded size are one."""
+        nonlocal held
+        if held and sizes and sizes[-1][0] == held[0][0]:
+            size, count, stock = sizes[-1]
+            sizes[-1] = (size, count + sum(c for _, c in held), stock + held)
+        elif held:
+            sizes.append((held[0][0], sum(c for _, c in held), held))
+        held = []
+
     for n in large:
         count = left[n]
         while count:
@@ -170,14 +235,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             held.append([n, take])
             count, room = count - take, room - take
             if not room:
-                sizes.append((held[0][0], sum(c for _, c in held), held))
-                held, room = [], share
-    if held:
-        sizes.append((held[0][0], sum(c for _, c in held), held))
+                close()
+                room = share
+    close()
     # configurations of few sizes, opened for many sequences at once: [free, count, groups]
     open_: list[tuple[int, int, int, tuple[int, ...]]] = []  # sorted by free room
     serial = 0
-    for g, (size, count, _) in enumerate(sizes):
+    left_over = [count for _, count, _ in sizes]
+    for bins, column in configurations([size for size, _, _ in sizes], left_over, capacity):
+        config = tuple(g for g, k in enumerate(column) for _ in range(k))
+        bisect.insort(open_, (capacity - sum(sizes[g][0] for g in config), serial, bins, config))
+        serial += 1
+        left_over = [c - bins * k for c, k in zip(left_over, column)]
+    for g, (size, _, _) in enumerate(sizes):
+        count = left_over[g]
         while count:
             at = bisect.bisect_left(open_, (size,))
             if at == len(open_):  # new sequences, each with as many of this size as it holds
@@ -253,7 +324,7 @@ def _places(runs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def assign(cut: DataFrame, capacity: int = CAPACITY, groups: int | None = None) -> DataFrame:
     """``cut`` (materialised pieces) with the ``sequence_id`` and ``offset`` of each piece."""
     spark = cut.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
