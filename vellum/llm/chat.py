@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<\|(\\*)(im_start\|>|im_end\|>)")
@@ -122,6 +123,45 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", json_col: str =
     return rows.mapInArrow(run, f"conv_id {kind}, turn long, role string, text string, layout string")
 
 
+def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+    """Nested field paths of a table's schema, as ``paths`` has them of a record."""
+    if isinstance(kind, T.StructType):
+        return {p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)} or {at}
+    if isinstance(kind, T.ArrayType):
+        return schema_paths(kind.elementType, at + "[]")
+    return {at}
+
+
+def table_turns(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """``(conv_id, turn, role, text)`` of a table in any known layout.
+
+    The fingerprint of the field paths of its schema, without the id, selects the
+    mapping, which becomes column expressions. Columns that the mapping doesn't
+    name are ignored; a table of no known layout is an error. Records without any
+    turn (null or empty fields and lists) give no row; null roles and texts of
+    listed turns stay null.
+    """
+    name = layout_of(schema_paths(records.schema)) or layout_of(schema_paths(records.drop(id_col).schema))
+    if name is None:
+        raise ValueError(f"no layout for {sorted(schema_paths(records.schema))}")
+    layout = LAYOUTS[name]
+    if "row" in layout:
+        return records.select(*[F.col(c).alias(x) for c, x in zip(layout["row"], ("conv_id", "turn", "role", "text"))])
+    parts = []
+    for field, role in layout.get("fields", ()):
+        given = [F.col(f).cast("string") for f in field.split("+") if f in records.columns]
+        if given:
+            text = F.array_join(F.filter(F.array(*given), lambda x: x.isNotNull() & (x != "")), "\n")
+            parts.append(F.when(text != "", F.array(F.struct(F.lit(role).alias("role"), text.alias("text")))))
+    if "list" in layout:
+        where, role, text = layout["list"]
+        known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+        parts.append(F.transform(F.filter(where, lambda t: t.isNotNull()), lambda t: F.struct(F.coalesce(known[t[role]], t[role]).alias("role"), t[text].alias("text"))))
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    turns = F.concat(*[F.coalesce(p.cast("array<struct<role:string,text:string>>"), none) for p in parts])
+    return records.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+
+
 # --- template -------------------------------------------------------------------
 
 
@@ -140,6 +180,8 @@ def format_turn(role: str, text: str) -> str:
 
 def read_turn(segment: str) -> tuple[str, str]:
     """Role and text of a formatted turn."""
+    if not segment.startswith(START):
+        raise ValueError(f"no mark of a turn at its start: {segment[:40]!r}")
     head, _, rest = segment[len(START) :].partition("\n")
     role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(head))
     return role, unescape(rest[: -len(END) - 1])
@@ -177,13 +219,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of conversations read back from ``format_chat``'s output.
 
     ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars)``. Segments stream sorted through each task; a running
-    hash stands for the conversation.
+    formatted_chars)``. Segments stream sorted through each task, as the formatted
+    text; turns are what its marks tell, wherever segments begin and end. A
+    running hash stands for the conversation. Text that is no whole turn is an
+    error.
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, out = None, None, []
+        key, state, out, text = None, None, [], ""
 
         def flush():
             nonlocal out
@@ -193,6 +237,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         def close():
+            if text:
+                raise ValueError(f"conversation {key} ends within a turn")
             out.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         arrow = pa.int64()
@@ -203,9 +249,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     if state:
                         close()
                     key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_turn(segment)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
+                text += segment
+                while (end := text.find(END + "\n")) >= 0:
+                    end += len(END) + 1
+                    role, said = read_turn(text[:end])
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+                    text = text[end:]
                 state[4] += len(segment)
                 if start is not None:
                     said = unescape(segment[start : start + length])
