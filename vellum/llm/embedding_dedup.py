@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import connected_components, materialize
+from vellum.llm.common import connected_components, materialize, small_or_shuffled
 
 THRESHOLD = 0.95
 #: Probability that a pair at the threshold meets in no table.
@@ -77,32 +77,33 @@ def error(factor: np.ndarray, d: int) -> np.ndarray:
     return np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, d - 1))
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    v = np.stack([np.frombuffer(x, np.float64) for x in raw])
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square leaves its range."""
+    v = np.stack([np.frombuffer(x, kind) for x in raw]).astype(np.float64)
+    v = v / np.abs(v).max(axis=1)[:, None]
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
-def _tables(bits: int, tables: int):
-    """Points (id, weight, vector) to their bucket rows, one for each table."""
+def _keys(v: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket of each unit vector in each table."""
+    sign = (v @ rotations(v.shape[1], bits * tables) > 0).reshape(len(v), tables, bits)
+    return (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+
+
+def _tables(bits: int, tables: int, kind: str, whole: bool):
+    """Points (id, weight, vector) to their bucket rows, one for each table; ``whole`` rows have the point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.asarray(x, np.float64).tobytes() for x in batch.column(2).to_pylist()]
-            out: list[tuple] = []
-            for d in sorted({len(x) // 8 for x in raw}):
-                rows = [i for i, x in enumerate(raw) if len(x) == 8 * d]
-                v = _units([raw[i] for i in rows])
-                code, factor = encode(v)
-                code = np.packbits(code, axis=1)
-                sign = (v @ rotations(d, bits * tables) > 0).reshape(len(rows), tables, bits)
-                keys = (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-                for k, i in enumerate(rows):
-                    every = keys[k].astype("<i4").tobytes()
-                    for t in range(tables):
-                        out.append((d, t, int(keys[k, t]), batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), raw[i], code[k].tobytes(), float(factor[k]), every))
-            cols = list(zip(*out)) or [()] * 9
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["d", "t", "key", "id", "weight", "vector", "code", "factor", "every"])
+            raw = batch.column(2).to_pylist()
+            out: list[pa.RecordBatch] = []
+            for size in sorted({len(x) for x in raw}):
+                rows = [i for i, x in enumerate(raw) if len(x) == size]
+                keys = _keys(_units([raw[i] for i in rows], kind), bits, tables)
+                at = pa.array(np.repeat(rows, tables))
+                cols = [pa.array(np.full(len(at), size, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(keys.ravel())]
+                out.append(pa.RecordBatch.from_arrays(cols + [c.take(at) for c in batch.columns] * whole, names=["d", "t", "key", *["id", "weight", "vector"] * whole]))
+            yield from out
 
     return run
 
@@ -148,18 +149,17 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r), k) for k, r in enumerate(root) if r != k]
 
 
-def _search(threshold: float):
+def _search(threshold: float, bits: int, tables: int, kind: str):
     """Sorted rows of buckets to (id, links, root): links found for a point, or an edge to a root."""
 
     def block(rows: list[tuple], out: list[tuple]) -> None:
         if len(rows) < 2:
             return
-        _, table, _, p, q, part, ids, weight, vector, code, factor, every = zip(*rows)
+        _, table, _, p, q, part, ids, weight, vector = zip(*rows)
         part = np.array(part)
-        v = _units(list(vector))
-        bits = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in code]), axis=1, count=v.shape[1]).astype(bool)
-        keys = np.stack([np.frombuffer(e, "<i4") for e in every])
-        i, j, _ = block_links(v, bits, np.array(factor), keys, table[0], part == p[0], part == q[0], threshold)
+        v = _units(list(vector), kind)
+        code, factor = encode(v)
+        i, j, _ = block_links(v, code, factor, _keys(v, bits, tables), table[0], part == p[0], part == q[0], threshold)
         if len(i):
             w = np.array(weight, np.float64)
             links = np.bincount(i, weights=w[j], minlength=len(ids)) + np.bincount(j, weights=w[i], minlength=len(ids))
@@ -197,22 +197,30 @@ def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     without component, and is kept. An empty table gives none. Labels and other
     columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"  # the shorter one holds the same values
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     rows = materialize(rows.withColumn("v", F.when(good, F.col("v"))))
     points = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     bits, tables = shape(points.count(), threshold)
-    buckets = points.select("id", "weight", "v").mapInArrow(
-        _tables(bits, tables), "d int, t int, key long, id long, weight long, vector binary, code binary, factor double, every binary"
-    )
-    buckets = materialize(buckets)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.asarray(x, kind).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["id", "weight", "vector"])
+
+    raw = points.select("id", "weight", "v").mapInArrow(packed, "id long, weight long, vector binary")
     key = ["d", "t", "key"]
-    sizes = buckets.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    cut = buckets.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # only keys are counted; buckets over PART points are cut
+    sizes = raw.mapInArrow(_tables(bits, tables, kind, False), "d int, t int, key long").groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    sizes = materialize(sizes.select(*key, F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    rows_of = raw.mapInArrow(_tables(bits, tables, kind, True), "d int, t int, key long, id long, weight long, vector binary")
+    cut = rows_of.join(small_or_shuffled(sizes, sizes.count()), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "o"), "q": F.greatest("part", "o")})
-    cut = cut.select(*key, "p", "q", "part", "id", "weight", "vector", "code", "factor", "every").repartition(*key, "p", "q").sortWithinPartitions(*key, "p", "q", "id")
-    found = materialize(cut.mapInArrow(_search(threshold), "id long, links long, root long"))
+    cut = cut.select(*key, "p", "q", "part", "id", "weight", "vector").repartition(*key, "p", "q").sortWithinPartitions(*key, "p", "q", "id")
+    found = materialize(cut.mapInArrow(_search(threshold, bits, tables, kind), "id long, links long, root long"))
     roots = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_point = points.join(links, "id", "left").join(roots, points.id == roots.node, "left")
