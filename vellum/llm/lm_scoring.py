@@ -7,7 +7,9 @@ which a word has its smoothed share of the counts. Class and type have softmax
 distributions over hashed features of the context: the word before, the word
 before that (a skip), and both. Tasks train on their part of the training
 documents by gradient steps from common weights, and the weights are averaged by
-blocks; every training token is used in each round. The numbers of types and of
+blocks: each row of weights by how many tokens of a task it served, so that rows
+which few tasks meet do not fall back to where they began. Every training token
+is used in each round. The numbers of types and of
 hashed weights follow the counted tokens (``sizes``).
 
 Counts cover the whole corpus and are kept in hash buckets. Frequent words, of
@@ -183,25 +185,43 @@ def _softmax(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return z
 
 
-def _step(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
-    """One gradient step on a batch; each row of weights moves by its mean gradient."""
+def _log_chance(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the chances of the targets."""
+    z = w.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += w.take(r, axis=0)
+    np.minimum(z, LARGEST, out=z)
+    own = z[np.arange(len(target)), target].astype(np.float64)
+    top = z.max(axis=1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return own - top - np.log(np.einsum("ij->i", z), dtype=np.float64)
+
+
+def _step(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray, served: np.ndarray | None = None) -> None:
+    """One gradient step on a batch; each row of weights moves by its mean gradient. ``served`` counts the tokens of each row."""
     g = _softmax(w, rows)
     g[np.arange(len(target)), target] -= 1
     for r in rows:
         if not r.any():  # the row without context, alone
             w[0] -= (RATE * g.sum(axis=0) / (len(r) + 4)).astype(np.float32)
+            if served is not None:
+                served[0] += len(r)
             continue
         order = _order(r)
         s = r[order]
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         n = np.diff(np.r_[start, len(s)])[:, None]
         w[s[start]] -= (RATE * np.add.reduceat(g.take(order, axis=0), start, axis=0) / (n + 4)).astype(np.float32)
+        if served is not None:
+            served[s[start]] += n[:, 0]
 
 
 def _train(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         cw, tw, seen = model.class_w.copy(), model.type_w.copy(), 0
+        cn, tn = np.zeros(len(cw), np.float32), np.zeros(len(tw), np.float32)
         for batch in slices(batches, DOCS):
             h, n = tokens(batch.column(0).to_pylist())
             first = np.r_[0, np.cumsum(n)[:-1]]
@@ -211,27 +231,29 @@ def _train(sent):
                 part = slice(lo, lo + BATCH)
                 cls, inner = kind[part] // model.size, kind[part] % model.size
                 c, t = model.rows([x[part] for x in f], cls)
-                _step(cw, c, cls)
-                _step(tw, t, inner)
+                _step(cw, c, cls, cn)
+                _step(tw, t, inner, tn)
             seen += len(h)
         if seen:
             task = TaskContext.get().partitionId()
-            blocks = [(k, w[lo : lo + BLOCK]) for k, (w, lo) in enumerate([(w, lo) for w in (cw, tw) for lo in range(0, len(w), BLOCK)])]
+            blocks = [(w[lo : lo + BLOCK], n[lo : lo + BLOCK]) for w, n in ((cw, cn), (tw, tn)) for lo in range(0, len(w), BLOCK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in blocks], pa.int32()), pa.array([task // TASKS] * len(blocks), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array([w.astype(np.float16).tobytes() for _, w in blocks], pa.binary())],
-                names=["block", "team", "seen", "weights"],
+                [pa.array(range(len(blocks)), pa.int32()), pa.array([task // TASKS] * len(blocks), pa.int32()), pa.array([n.tobytes() for _, n in blocks], pa.binary()), pa.array([w.astype(np.float16).tobytes() for w, _ in blocks], pa.binary())],
+                names=["block", "team", "served", "weights"],
             )
 
     return run
 
 
 def _average(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Mean weights of a block, weighted by the tokens seen."""
-    total, mean = 0, None
-    for n, w in zip(t.column("seen").to_pylist(), t.column("weights").to_pylist()):
-        w = np.frombuffer(w, np.float16).astype(np.float64) * n
-        total, mean = total + n, w if mean is None else mean + w
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "team": pa.array([0], pa.int32()), "seen": pa.array([total], pa.int64()), "weights": pa.array([(mean / total).astype(np.float16).tobytes()], pa.binary())})
+    """Mean weights of a block, each row weighted by the tokens that it served; a row that served none is where it began."""
+    total = mean = 0.0
+    for n, w in zip(t.column("served").to_pylist(), t.column("weights").to_pylist()):
+        n = np.frombuffer(n, np.float32).astype(np.float64)
+        first = np.frombuffer(w, np.float16).reshape(len(n), -1)
+        total, mean = total + n, mean + first * n[:, None]
+    mean = np.where(total[:, None] > 0, mean / np.maximum(total, 1)[:, None], first)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "team": pa.array([0], pa.int32()), "served": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "weights": pa.array([mean.astype(np.float16).tobytes()], pa.binary())})
 
 
 def train_model(train: DataFrame, vocab: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -274,7 +296,7 @@ def train_model(train: DataFrame, vocab: DataFrame, rounds: int = ROUNDS) -> Mod
     model.type_w[: model.classes] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
     for _ in range(rounds if total else 0):
         sent = spark.sparkContext.broadcast(model)
-        schema = "block int, team int, seen long, weights binary"
+        schema = "block int, team int, served binary, weights binary"
         parts = train.select(F.col("text").cast("binary")).coalesce(TRAINERS).mapInArrow(_train(sent), schema)
         parts = parts.groupBy("block", "team").applyInArrow(_average, schema).groupBy("block").applyInArrow(_average, schema)
         got = {r.block: np.frombuffer(r.weights, np.float16) for r in parts.collect()}  # the weights, whose size is known from the tokens
@@ -297,7 +319,7 @@ def _ask(sent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         row = TaskContext.get().partitionId() << 40
-        for at, batch in enumerate(slices(batches, DOCS)):
+        for batch in slices(batches, DOCS):
             docs = batch.column(0).to_pylist()
             h, n = tokens(batch.column(1).to_pylist())
             first = np.r_[0, np.cumsum(n)[:-1]]
@@ -310,16 +332,15 @@ def _ask(sent, buckets: int):
                 part = slice(lo, lo + BATCH)
                 cls, inner = kind[part] // model.size, kind[part] % model.size
                 c, t = model.rows([x[part] for x in f], cls)
-                k = np.arange(len(cls))
-                p = _softmax(model.class_w, c)[k, cls].astype(np.float64) * _softmax(model.type_w, t)[k, inner]
-                score[part] = np.log10(np.maximum(p, 1e-30)) - model.share[kind[part]]
+                score[part] = (_log_chance(model.class_w, c, cls) + _log_chance(model.type_w, t, inner)) / np.log(10) - model.share[kind[part]]
             head = place >= 0
             logs = np.where(head, np.log10(model.counts[place] + 1.0) if len(model.counts) else 0.0, 0.0)
             in_tail = head & (kind % model.size >= model.own)
             score += np.where(in_tail, logs, 0.0)
             rows, chunk = row + np.arange(len(docs)), row
             row += len(docs)
-            out = [(-1 - at % 4096, chunk, rows.tolist(), docs, [], b"", b"", n.tolist(), np.bincount(doc[head], minlength=len(docs)).tolist(), np.bincount(doc, weights=logs, minlength=len(docs)).tolist(), np.bincount(doc, weights=score, minlength=len(docs)).tolist())]
+            own = -1 - int(mix(np.array([chunk], np.uint64))[0] % np.uint64(2**30))
+            out = [(own, chunk, rows.tolist(), docs, [], b"", b"", n.tolist(), np.bincount(doc[head], minlength=len(docs)).tolist(), np.bincount(doc, weights=logs, minlength=len(docs)).tolist(), np.bincount(doc, weights=score, minlength=len(docs)).tolist())]
             hh, dd = h[~head], doc[~head]
             if len(hh):
                 m = mix(hh)
