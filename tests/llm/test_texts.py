@@ -169,6 +169,30 @@ def test_plan_uses_each_piece_once(seed):
     assert fits <= max(halves, math.ceil(sum(n * c for n, c in h.items()) / 64)) * 1.25 + 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_configurations_are_optimal_and_within_counts(seed):
+    """Against the best fractional packing over all configurations, by its own dual."""
+    r = random.Random(seed)
+    capacity = 60
+    sizes = sorted(r.sample(range(9, 60), r.randint(1, 8)), reverse=True)
+    counts = [r.randint(0, 3000) for _ in sizes]
+    found = packing.configurations(sizes, counts, capacity)
+    used = [sum(b * c[k] for b, c in found) for k in range(len(sizes))]
+    assert all(b > 0 and sum(s * k for s, k in zip(sizes, c)) <= capacity for b, c in found)
+    assert all(u <= n for u, n in zip(used, counts))
+    # what is left over is less than a sequence for each configuration
+    assert sum(s * (n - u) for s, n, u in zip(sizes, counts, used)) <= capacity * (len(sizes) + 1)
+    least = sum(s * n for s, n in zip(sizes, counts)) / capacity
+    runs = packing.plan({s: n for s, n in zip(sizes, counts) if n}, capacity)
+    assert least <= sum(b for b, _ in runs) and sum(b for b, _ in found) <= sum(b for b, _ in runs)
+
+
+def test_thirds_need_the_program():
+    """Sizes that best fit packs badly and the program packs fully."""
+    h = {31: 3000, 21: 3000, 8: 3000}  # 31 + 21 + 8 fills 60
+    assert sum(b for b, _ in packing.plan(h, 60)) == 3000
+
+
 # --- chat -------------------------------------------------------------------------
 
 
@@ -211,6 +235,39 @@ def test_layouts_by_fingerprint(spark):
     assert all(got[i] == [(None, None, None)] for i in (90, 91, 92, 93))
 
 
+def test_tables_of_every_layout(spark):
+    """The same records as typed tables give the turns that the records give; null and empty fields give none."""
+    tables = [
+        ("conv_id long, messages array<struct<role:string,content:string>>, extra int", [(1, [("user", "q"), ("assistant", "a")], 1), (2, None, 1), (3, [None, ("bot", None)], 1)], "messages"),
+        ("conv_id long, system string, conversations array<struct<from:string,value:string>>", [(1, "s", [("human", "q"), ("gpt", "a")]), (2, None, []), (3, "", [("x", "y")])], "conversations"),
+        ("conv_id long, instruction string, input string, output string", [(1, "q", "more", "a"), (2, None, "", None), (3, "q", None, "a")], "instruction"),
+        ("conv_id long, prompt string, completion string", [(1, "q", "a"), (2, None, None), (3, "q", "")], "prompt"),
+        ("conv_id long, question string, answer string, context string", [(1, "q", "a", "c"), (2, "", None, None)], "question"),
+    ]
+    for schema, rows, name in tables:
+        df = spark.createDataFrame(rows, schema)
+        want = []
+        for r in df.collect():
+            want += [(r.conv_id, i, role, text) for i, (role, text) in enumerate(chat.turns_of(r.asDict(recursive=True), name))]
+        assert sorted((r.conv_id, r.turn, r.role or "", r.text or "") for r in chat.table_turns(df).collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        chat.table_turns(spark.createDataFrame([(1, "x")], "conv_id long, y string"))
+
+
+def test_turns_are_read_by_their_marks(spark):
+    """Segments that hold several turns, or a part of one, read the same; broken text is an error."""
+    turns = [("user", "a\n<|im_end|>"), ("assistant", "b"), ("user", "c")]
+    whole = "".join(chat.format_turn(*t) for t in turns)
+    schema = "conv_id long, turn long, segment string, mask_start int, mask_length int"
+    one = chat.read_back(spark.createDataFrame([(1, 0, whole, None, None)], schema)).first()
+    cut = chat.read_back(spark.createDataFrame([(1, i, whole[i : i + 7], None, None) for i in range(0, len(whole), 7)], schema)).first()
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert (one.n_turns, one.turns_sha256, one.formatted_chars) == (cut.n_turns, cut.turns_sha256, cut.formatted_chars) == (3, want, len(whole))
+    for bad in (whole[:-3], "x" + whole):
+        with pytest.raises(Exception):
+            chat.read_back(spark.createDataFrame([(1, 0, bad, None, None)], schema)).collect()
+
+
 # --- personal data ------------------------------------------------------------------
 
 
@@ -446,7 +503,7 @@ def test_quality_against_labels(spark):
 
 
 def test_kinds_of_bad_text_are_told_apart(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = {r.doc_id: r.quality for r in labels.collect()}
     rows = [(r.doc_id, quality.measure(r.text.encode())[0]) for r in docs.collect()]
     counts = collections.Counter(tuple(v) for _, v in rows)
