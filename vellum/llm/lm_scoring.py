@@ -42,6 +42,8 @@ LARGEST = 60.0
 BATCH = 32_768
 RATE = 1.0
 ROUNDS = 1
+#: Rows of a group of equal contexts up to which groups are added up side by side.
+TURNS = 24
 #: Documents that a task works on at once.
 DOCS = 1_000
 BUCKET_BYTES = 16_000_000
@@ -185,6 +187,23 @@ def _softmax(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return z
 
 
+def _sums(g: np.ndarray, order: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``g`` that are ``order[start : start + n]``, groups from large to small.
+
+    Large groups are reduced one by one; of the others, the first rows of all are
+    added up, then the second ones, and so on.
+    """
+    large = int(np.searchsorted(-n, -TURNS))
+    out = np.empty((len(n), g.shape[1]), g.dtype)
+    for k in range(large):
+        out[k] = np.einsum("ij->j", g.take(order[start[k] : start[k] + n[k]], axis=0))
+    out[large:] = g.take(order[start[large:]], axis=0)
+    for turn in range(1, int(n[large]) if large < len(n) else 0):
+        some = int(np.searchsorted(-n, -turn))  # those with more than so many rows
+        out[large:some] += g.take(order[start[large:some] + turn], axis=0)
+    return out
+
+
 def _log_chance(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """Natural logarithms of the chances of the targets."""
     z = w.take(rows[0], axis=0)
@@ -192,10 +211,14 @@ def _log_chance(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np
         z += w.take(r, axis=0)
     np.minimum(z, LARGEST, out=z)
     own = z[np.arange(len(target)), target].astype(np.float64)
-    top = z.max(axis=1)
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return own - top - np.log(np.einsum("ij->i", z), dtype=np.float64)
+    e = np.exp(z)
+    total = np.einsum("ij->i", e).astype(np.float64)
+    if not total.all():  # all of a row out of the range of exp
+        low = total == 0
+        top = z[low].max(axis=1).astype(np.float64)
+        total[low] = np.exp(z[low] - top[:, None]).sum(axis=1)
+        own[low] -= top
+    return own - np.log(total)
 
 
 def _step(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray, served: np.ndarray | None = None) -> None:
@@ -211,10 +234,14 @@ def _step(w: np.ndarray, rows: list[np.ndarray], target: np.ndarray, served: np.
         order = _order(r)
         s = r[order]
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        n = np.diff(np.r_[start, len(s)])[:, None]
-        w[s[start]] -= (RATE * np.add.reduceat(g.take(order, axis=0), start, axis=0) / (n + 4)).astype(np.float32)
+        n = np.diff(np.r_[start, len(s)])
+        by = np.argsort(-n, kind="stable")
+        start, n = start[by], n[by]
+        total = _sums(g, order, start, n)
+        total *= (RATE / (n + 4)).astype(np.float32)[:, None]
+        w[s[start]] -= total
         if served is not None:
-            served[s[start]] += n[:, 0]
+            served[s[start]] += n
 
 
 def _train(sent):
