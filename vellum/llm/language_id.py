@@ -17,6 +17,7 @@ evenly over the languages; every other number covers all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ LEAST_ROWS = 50
 #: Most languages that are modelled, the most frequent labels: far above what corpora label.
 #: A document that declares a rarer one keeps it, unless a modelled language wins.
 LANGUAGES = 512
+#: Tasks that count the sample.
+TEAMS = 8
 SLOTS = 1 << 16
 UND = "und"
 #: Overlapping n-grams repeat their evidence: so many count as one.
@@ -83,18 +86,22 @@ def train(docs: DataFrame, id_: Column, text: Column, label: Column, rows: int =
     # hashes up to here are in the sample; at most LANGUAGES rows
     upto = docs.sparkSession.createDataFrame([(r.l, max(r.h, int(min(1.0, each / r.n) * (1 << 52)))) for r in tally], "l string, upto long")
     sample = labelled.join(F.broadcast(upto), "l").where("h <= upto").select("l", "t")
+    # the sample is small; a task holds the counts of one language at a time
+    sample = sample.repartition(TEAMS).sortWithinPartitions("l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        name, total = None, np.zeros(SLOTS, np.int32)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([total.tobytes()], pa.binary())], names=["l", "counts"])
         for batch in batches:
-            labels = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            for name in sorted(set(labels)):
-                slot, _ = grams([t for t, x in zip(texts, labels) if x == name])
-                if len(slot):
-                    total.setdefault(name, np.zeros(SLOTS, np.int32))
-                    total[name] += np.bincount(slot, minlength=SLOTS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["l", "counts"])
+            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for x, some in groupby(zip(labels, texts), key=lambda r: r[0]):
+                if x != name:
+                    if name is not None:
+                        yield row()
+                    name, total = x, np.zeros(SLOTS, np.int32)
+                total += np.bincount(grams([t for _, t in some])[0], minlength=SLOTS).astype(np.int32)
+        if name is not None:
+            yield row()
 
     def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         total = np.zeros(SLOTS, np.int64)
@@ -161,21 +168,75 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"<[^>]*>", " ")
 
 
-def _with_evidence(scored: DataFrame, given: str, size: int, rates: dict[str, list[float]]) -> DataFrame:
-    """``scored`` with the log likelihoods of what is given under each language; even where it is not known."""
-    rows = scored.sparkSession.createDataFrame(sorted(rates.items()), f"{given} string, __logs array<double>")  # a row a language
-    logs = F.coalesce("__logs", F.array_repeat(F.lit(0.0), size)).alias(f"of_{given}")
-    return scored.join(F.broadcast(rows), given, "left").select(*scored.columns, logs)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+def _matrix(x: pa.Array, size: int) -> np.ndarray:
+    """A column of arrays, all of one size."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), size)
 
 
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _own(batch: pa.RecordBatch, rates: dict[str, dict[str, list[float]]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihoods of all that a row itself tells, and the chances that they give; none of an empty text."""
+    own = _matrix(batch.column("ll"), size)
+    for given, logs in rates.items():
+        known = {g: i + 1 for i, g in enumerate(logs)}
+        rows = np.array([[0.0] * size, *logs.values()])
+        own = own + rows[[known.get(x, 0) for x in batch.column(given).to_pylist()]]
+    empty = np.array(batch.column("empty").to_pylist(), bool)
+    return own, np.where(empty[:, None], 0.0, _softmax(own))
+
+
+def _host_sums(rates: dict, size: int):
+    """Scored rows to sums of the chances by host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, p = _own(batch, rates, size)
+            hosts = batch.column("host").dictionary_encode()
+            code = hosts.indices.to_numpy()
+            sums = np.zeros((len(hosts.dictionary), size))
+            np.add.at(sums, code, p)
+            first = np.full(len(sums), len(code))
+            np.minimum.at(first, code, np.arange(len(code)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, size), pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([hosts.dictionary, batch.column("domain").take(pa.array(first)), lists], names=["host", "domain", "s"])
+
+    return run
+
+
+def _fused(rates: dict, names: list[str], whole: list[float]):
+    """Scored rows with the sums of their host and domain to ``(doc_id, lang, confidence, kept)``."""
+    size = len(names)
+
+    def smooth(counts: np.ndarray, p: np.ndarray, prior) -> np.ndarray:
+        """Shares without the row's own, pulled towards a prior."""
+        less = np.maximum(counts - p, 0.0)
+        return (less + STRENGTH * prior) / (less.sum(axis=1, keepdims=True) + STRENGTH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, p = _own(batch, rates, size)
+            prior = smooth(np.array(whole), p, 1.0 / size)
+            for counts in ("of_domain", "of_host"):
+                prior = smooth(_matrix(batch.column(counts), size), p, prior)
+            post = _softmax(own + np.log(prior))
+            best = post.argmax(axis=1)
+            lang, sure = [], post.max(axis=1)
+            for k, (b, declared, empty) in enumerate(zip(best.tolist(), batch.column("declared").to_pylist(), batch.column("empty").to_pylist())):
+                if empty:
+                    lang.append(UND)
+                    sure[k] = 0.0
+                elif names[b] == UND and declared is not None and declared not in names:
+                    lang.append(declared)  # beyond the modelled languages: nothing else can tell of it
+                else:
+                    lang.append(names[b])
+            kept = [x != UND for x in lang]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure), pa.array(kept, pa.bool_())], names=["doc_id", "lang", "confidence", "kept"])
+
+    return run
 
 
 def identify(
@@ -232,34 +293,16 @@ def identify(
         p = (count + 1) / (count.sum(axis=0, keepdims=True) + len(all_names))
         rates[given] = {g: np.log(p[i]).tolist() for i, g in enumerate(all_names)} if seen else {}
     size = len(all_names)
-    for given in ("declared", "hint"):
-        scored = _with_evidence(scored, given, size, rates[given])
-    own = _add(_add(F.col("ll"), F.col("of_declared")), F.col("of_hint"))
-    mine = scored.withColumn("own", own).withColumn("p", F.when(F.col("empty"), F.array(*[F.lit(0.0)] * size)).otherwise(_softmax(F.col("own"))))
-    sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(size)]
-    hosts = materialize(mine.groupBy("host", "domain").agg(*sums))
+    sums = [F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(size)]
+    parts = scored.select("declared", "hint", "host", "domain", "empty", "ll").mapInArrow(_host_sums(rates, size), "host string, domain string, s array<double>")
+    hosts = materialize(parts.groupBy("host", "domain").agg(*sums))
     totals = [F.sum(f"s{k}").alias(f"s{k}") for k in range(size)]
     whole = [float(x or 0) for x in hosts.agg(*totals).first()]
     pack = F.array(*[f"s{k}" for k in range(size)])
     domains = hosts.groupBy("domain").agg(*totals).select("domain", pack.alias("of_domain"))
     hosts = hosts.select("host", "domain", pack.alias("of_host")).join(domains, "domain").select("host", "of_host", "of_domain")
-    fused = mine.join(hosts, "host")
-
-    def smooth(counts: Column, prior: Column) -> Column:
-        less = F.zip_with(counts, F.col("p"), lambda c, p: F.greatest(c - p, F.lit(0.0)))
-        total = F.aggregate(less, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(less, prior, lambda c, q: (c + STRENGTH * q) / (total + STRENGTH))
-
-    even = F.array(*[F.lit(1.0 / size)] * size)
-    corpus = smooth(F.array(*[F.lit(x) for x in whole]), even)
-    prior = smooth(F.col("of_host"), smooth(F.col("of_domain"), corpus))
-    post = _softmax(F.zip_with("own", prior, lambda x, q: x + F.ln(q)))
-    out = fused.withColumn("post", post).withColumn("confidence", F.array_max("post"))
-    best = F.array(*[F.lit(n) for n in all_names])[F.array_position("post", F.col("confidence")).cast("int") - 1]
-    # declared, but beyond the modelled languages: nothing else can tell of it
-    best = F.when((best == UND) & ~F.col("declared").isin(all_names), F.col("declared")).otherwise(best)
-    lang = F.when(F.col("empty"), F.lit(UND)).otherwise(best)
-    return out.select("doc_id", lang.alias("lang"), F.when(F.col("empty"), F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"), (lang != UND).alias("kept"))
+    fused = scored.join(hosts, "host").select("doc_id", "declared", "hint", "empty", "ll", "of_host", "of_domain")
+    return fused.mapInArrow(_fused(rates, all_names, whole), f"doc_id {kind}, lang string, confidence double, kept boolean")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
