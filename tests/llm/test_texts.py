@@ -584,6 +584,37 @@ def test_model_is_a_distribution():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and p[np.arange(len(h)), kind // lm_scoring.SIZE].mean() > before
 
 
+def test_sums_of_groups_and_log_chances():
+    rng = np.random.default_rng(4)
+    g = rng.standard_normal((3000, 8)).astype(np.float32)
+    r = np.r_[rng.integers(0, 900, 2000), rng.integers(0, 3, 1000)].astype(np.uint16)
+    order = np.argsort(r, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(r[order].astype(int)) > 0])
+    n = np.diff(np.r_[start, len(r)])
+    by = np.argsort(-n, kind="stable")
+    want = np.zeros((len(n), 8))
+    np.add.at(want, np.searchsorted(np.unique(r), r), g)
+    assert np.allclose(lm_scoring._sums(g, order, start[by], n[by]), want[by], atol=1e-3)
+    w = (rng.standard_normal((40, 8)) * 5).astype(np.float32)
+    w[3] = -150
+    rows = [np.array([3, 3, 5, 7], np.uint16), np.array([0, 3, 1, 2], np.uint16)]
+    z = (w[rows[0]] + w[rows[1]]).astype(np.float64)
+    z -= z.max(axis=1, keepdims=True)
+    want = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(lm_scoring._log_chance(w, rows, np.array([1, 2, 3, 4])), want[np.arange(4), [1, 2, 3, 4]], atol=1e-3)
+
+
+def test_rows_are_averaged_by_what_they_served():
+    import pyarrow as pa
+
+    f = lambda n, w: (np.array(n, np.float32).tobytes(), np.array(w, np.float16).tobytes())
+    tasks = [f([1, 0, 0], [[1], [5], [7]]), f([3, 2, 0], [[5], [9], [7]])]
+    t = pa.table({"served": [x for x, _ in tasks], "weights": [x for _, x in tasks]})
+    got = lm_scoring._average((pa.scalar(0),), t)
+    assert np.frombuffer(got.column("weights")[0].as_py(), np.float16).tolist() == [4, 9, 7]
+    assert np.frombuffer(got.column("served")[0].as_py(), np.float32).tolist() == [4, 2, 0]
+
+
 def test_both_words_before_tell_what_neither_tells():
     """After a a and b b comes x, after a b and b a comes y: only the pair of words tells which."""
     rng = np.random.default_rng(2)
