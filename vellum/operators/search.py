@@ -1,11 +1,14 @@
 """Queries over documents: matching and relevance as columns of one plan.
 
 A query is a small tree of objects. ``search`` turns it into one DataFrame plan:
-texts are analysed once; every leaf becomes an expression over the token array of
-its row, so a boolean query with many clauses needs no join and no shuffle; the
-corpus statistics that scores need (documents with the field, mean length,
-documents with each term) are one aggregate, a single row that is joined back.
-Filters on plain columns come before the analysis and reach the scan.
+texts are analysed once a scan; every leaf becomes an expression over the token
+array of its row, so a boolean query with many clauses needs no join and no
+shuffle; the corpus statistics that scores need (documents with the field, mean
+length, documents with each term) are one aggregate of a scan of its own, a single
+row that is joined back. Filters on plain columns come before the analysis and
+reach the scan; filters on matches stay above it (``once``), else the optimizer
+would repeat the analysis in each of them. Single terms are counted in the tokens
+that some clause asks for, which are few.
 
 For many queries over the same texts, ``vellum.plans.postings`` keeps an index.
 """
@@ -50,10 +53,25 @@ class Context:
     def __init__(self, analyzers: dict, similarity: Similarity):
         self.analyzers, self.similarity = analyzers, similarity
         self.freqs: dict[str, tuple[str, Column, list[Column]]] = {}  # name -> field, frequency, terms whose idf adds up
+        self.terms: dict[str, list[str]] = {}  # field -> single terms that clauses ask for
 
     def tokens(self, name: str) -> Column:
         return F.col(f"__tok_{name}")
 
+    def asked(self, name: str, term: str) -> Column:
+        """The tokens of a field that single terms ask for, this one among them."""
+        if term not in self.terms.setdefault(name, []):
+            self.terms[name].append(term)
+        return F.col(f"__ask_{name}")
+
+    def analysed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with tokens and, of fields with single terms, the tokens that are asked for."""
+        for name, analyzer in self.analyzers.items():
+            rows = rows.withColumn(f"__tok_{name}", once(analyzer(F.col(name))))
+        for name, terms in self.terms.items():
+            rows = rows.withColumn(f"__ask_{name}", once(F.filter(f"__tok_{name}", _one_of(terms))))
+        return rows
+
     def scored(self, name: str, freq: Column, parts: list[Column]) -> tuple[Column, Column]:
         """Registers a scoring leaf; its frequency, and its score."""
         key = f"__f{len(self.freqs)}"
@@ -63,6 +81,15 @@ class Context:
         return F.col(key), self.similarity.score(f, idf, F.col(f"__dl_{name}"), F.col(f"__avg_{name}"))
 
 
+def once(value: Column) -> Column:
+    """``value``, kept where it is computed: no filter or projection above repeats it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def _one_of(terms: list[str]):
+    return lambda t: t.isin(terms)
+
+
 def count_of(tokens: Column, term: str) -> Column:
     return F.coalesce(F.size(F.filter(tokens, lambda t: t == term)), F.lit(0))
 
@@ -89,7 +116,8 @@ class Term(Query):
     term: str
 
     def compile(self, ctx):
-        freq, score = ctx.scored(self.field, count_of(ctx.tokens(self.field), self.term), [count_of(ctx.tokens(self.field), self.term) > 0])
+        asked = ctx.asked(self.field, self.term)
+        freq, score = ctx.scored(self.field, count_of(asked, self.term), [F.coalesce(F.array_contains(asked, self.term), F.lit(False))])
         return freq > 0, score
 
 
@@ -330,21 +358,15 @@ def search(
     ctx = Context(fields, similarity or Similarity())
     match, score = query.compile(ctx)
     used = {name for name, _, _ in ctx.freqs.values()}
-    rows = docs
-    for name, analyzer in fields.items():
-        rows = rows.withColumn(f"__tok_{name}", analyzer(F.col(name)))
+    rows = ctx.analysed(docs if where is None else docs.where(where))
     if ctx.freqs:
         aggregates = [x for name in sorted(used) for x in (F.count(f"__tok_{name}").cast("double").alias(f"__n_{name}"), F.avg(F.size(f"__tok_{name}")).alias(f"__avg_{name}"))]
         for key, (_, _, parts) in ctx.freqs.items():
             aggregates += [F.count_if(p).cast("double").alias(f"{key}_df{i}") for i, p in enumerate(parts)]
-        stats = rows.agg(*aggregates)  # one row
+        stats = ctx.analysed(docs).agg(*aggregates)  # one row
         for name in used:
             rows = rows.withColumn(f"__dl_{name}", F.size(f"__tok_{name}").cast("double"))
-        for key, (_, freq, _) in ctx.freqs.items():
-            rows = rows.withColumn(key, freq)
-        rows = (rows if where is None else rows.where(where)).crossJoin(F.broadcast(stats))
-    elif where is not None:
-        rows = rows.where(where)
+        rows = rows.withColumns({key: once(freq) for key, (_, freq, _) in ctx.freqs.items()}).crossJoin(F.broadcast(stats))
     return rows.where(match).withColumn("score", score).select(*(keep or docs.columns), "score")
 
 

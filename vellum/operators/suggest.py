@@ -95,9 +95,19 @@ def _in_context(rows: DataFrame, contexts: list[str]) -> DataFrame:
 
 
 def completions(entries: DataFrame, lookups: DataFrame, n: int = 5) -> DataFrame:
-    """Prefix suggestions for a table of lookups (``typed``): a join on the first three characters, best n each."""
-    e = entries.withColumn("normal", _normal(F.col("text"))).withColumn("head", F.substring("normal", 1, 3))
-    q = lookups.select("typed").distinct().withColumn("want", _normal(F.col("typed"))).where(F.length("want") >= 3).withColumn("head", F.substring("want", 1, 3))
+    """Prefix suggestions for a table of lookups (``typed``), best n each.
+
+    Entries and lookups meet on the length and value of the lookup's first three
+    characters, or of all of a shorter one; an empty lookup finds nothing. Only
+    the best n entries of a short lookup's beginning can be suggested, so all
+    others leave before the join.
+    """
+    normal = _normal(F.col("text"))
+    e = entries.withColumn("normal", normal).withColumn("head", F.explode(F.array_distinct(F.array(*[F.substring(normal, 1, k) for k in (1, 2, 3)]))))
+    rank = F.row_number().over(Window.partitionBy("head").orderBy(F.desc("weight"), "text"))
+    short = e.where(F.length("head") < 3).withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    e = e.where(F.length("head") == 3).unionByName(short)
+    q = lookups.select("typed").distinct().withColumn("want", _normal(F.col("typed"))).where(F.length("want") >= 1).withColumn("head", F.substring("want", 1, 3))
     found = e.join(q, "head").where(F.col("normal").startswith(F.col("want")))
     place = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("weight"), "text"))
     return found.withColumn("place", place).where(F.col("place") <= n).select("typed", "place", "text", "weight")
