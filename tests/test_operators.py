@@ -1,5 +1,6 @@
 """Operators on small tables with values worked out by hand or by a plain second way."""
 
+import collections
 import datetime
 import itertools
 import json
@@ -12,10 +13,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions import analysis, geo, scalar
+from vellum.functions import analysis, geo, scalar, stemming
 from vellum.operators import blockjoin, changes, facets, fuzzy, highlight, ordering, suggest
 from vellum.operators.ordering import Key
-from vellum.operators.search import Boolean, Constant, DisMax, Fuzzy, Phrase, Prefix, Range, Regexp, Term, TermRange, Wildcard, search, top
+from vellum.operators.search import AnyOf, Boolean, Constant, DisMax, Fuzzy, Phrase, Prefix, Range, Regexp, Term, TermRange, Wildcard, search, top, words_of
 from vellum.plans.postings import Index
 from vellum.sources import readers
 from vellum.sources.schema import Field, FieldError, Schema
@@ -340,3 +341,81 @@ def test_pages_put_together_are_the_whole_order(spark):
 def test_top_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 2.0)], "doc_id int, score double")
     assert [r.doc_id for r in top(df, 2).collect()] == [2, 1]
+
+
+def test_texts_are_analysed_once_a_scan(words):
+    """One scan for the rows, one for the statistics, however many clauses."""
+    for n in (1, 2, 8):
+        plan = search(words.select("*"), Boolean(should=[Term("text", f"w{i}") for i in range(n)]))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 2
+    plan = search(words.select("*"), Phrase("text", ["the", "dog"], slop=1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
+def test_words_of_plain_text(words):
+    assert ids(search(words, words_of("text", "Dog, -- CAT!"), WORDS)) == [1, 2]
+    assert ids(search(words, words_of("text", "dog cat", all_=True), WORDS)) == [2]
+    assert ids(search(words, words_of("text", " ... "), WORDS)) == []
+    assert ids(search(words, AnyOf("text", ["wagging", "nothing"]), WORDS)) == [1] and ids(search(words, AnyOf("text", []), WORDS)) == []
+
+
+def test_porter_stems():
+    """Examples that the algorithm's paper gives for its steps."""
+    pairs = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+    conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+    relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile
+    analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous
+    formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope
+    goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+    replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog
+    effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
+    for word, stem in zip(pairs[::2], pairs[1::2]):
+        assert stemming.porter(word) == stem, word
+    assert [stemming.porter(x) for x in ("", "is", "é", "2nd", "naïve")] == ["", "is", "é", "2nd", "naïve"]
+
+
+def test_stems_of_tokens_keep_exclusions(spark):
+    df = spark.createDataFrame([("running",), ("skies",), ("news",), (None,), ("running",)], "t string")
+    got = sorted(((r.t, r.stem) for r in stemming.english(df, "t", keep=["news"]).collect()), key=str)
+    assert got == sorted([("news", "news"), ("running", "run"), ("running", "run"), ("skies", "ski"), (None, None)], key=str)
+
+
+def test_expansion_over_a_whole_dictionary(spark):
+    r = random.Random(3)
+    terms = sorted({"".join(r.choice("whité") for _ in range(r.randint(1, 6))) for _ in range(400)})
+    got = [(x.term, x.distance) for x in fuzzy.expand(spark.createDataFrame([(t,) for t in terms], "term string"), "whit", 2).collect()]
+
+    def plain(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    assert got == sorted(((t, plain(t, "whit")) for t in terms if plain(t, "whit") <= 2), key=lambda x: (x[1], x[0]))[:50]
+
+
+def test_short_lookups_complete(spark):
+    entries = spark.createDataFrame([("alpha", 5), ("album", 9), ("a", 1), ("beta", 3), ("al", 2)], "text string, weight long").withColumn("contexts", F.array(F.lit("x")))
+    looked = spark.createDataFrame([("a",), ("al",), ("alp",), ("",), ("bet",)], "typed string")
+    got = collections.defaultdict(list)
+    for x in suggest.completions(entries, looked, 2).orderBy("typed", "place").collect():
+        got[x.typed].append(x.text)
+    assert got == {"a": ["album", "alpha"], "al": ["album", "alpha"], "alp": ["alpha"], "bet": ["beta"]}
+
+
+def test_deleting_all_and_sorted_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1, False), (2, "b", 1, False), (1, "c", 2, False), (3, "d", 2, True)], "k int, v string, seq int, deleted boolean")
+    after = rows.unionByName(changes.delete_all(rows, "k"))
+    assert changes.live(after, "k").count() == 0 and sorted(r.k for r in changes.live(after, "k", version=2).collect()) == [1, 2]
+    changes.write_sorted(spark.range(1000).selectExpr("id", "1000 - id as x"), str(tmp_path / "s"), [F.col("x")], 3)
+    spans = spark.read.parquet(str(tmp_path / "s")).groupBy(F.input_file_name()).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("lo").collect()
+    assert len(spans) == 3 and all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+
+
+def test_offsets_of_long_texts(spark):
+    n = 30_000
+    df = spark.createDataFrame([("ab é " * n,), (None,), ("",)], "t string")
+    got = [r.x for r in df.select(analysis.with_offsets(F.col("t")).alias("x")).collect()]
+    assert [len(x) if x is not None else None for x in got] == [2 * n, None, 0] and tuple(got[0][-1]) == ("é", 5 * n - 2, 5 * n - 1)

@@ -12,15 +12,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.folds import scan
+
 WORD = r"[\p{L}\p{N}]+"
 MAX_TOKEN = 255
 #: The usual English stop list of search libraries.
 ENGLISH_STOP = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 )
-FRENCH_STOP = "au aux avec ce ces dans de des du elle en et eux il je la le leur lui ma mais me".split()
-GERMAN_STOP = "aber als am an auch auf aus bei bin bis da das dem den der die du ein eine".split()
-SPANISH_STOP = "al como con de del desde el en es la las lo los no para por que se sin su un una y".split()
+#: Usual stop lists of other languages, function words only.
+FRENCH_STOP = """
+    au aux avec c ce ceci cela ces cet cette d dans de des du elle en es est et eu eux il ils j je l la le les leur leurs lui m ma mais me
+    même mes moi mon n ne nos notre nous on ont ou où par pas pour qu que quel quelle quels quelles qui s sa sans se ses si son sont soi
+    sur t ta te tes toi ton tu un une vos votre vous y à été être
+""".split()
+GERMAN_STOP = """
+    aber als am an auch auf aus bei bin bis bist da damit dann das dass dein deine dem den der des dessen die dies diese dieser dieses dir doch
+    dort du durch ein eine einem einen einer eines er es euer eure für hat hatte hier hin hinter ich ihm ihn ihr ihre im in indem ins ist ja
+    jede jeder jedes jener jenes jetzt kann kein keine können mein meine mich mir mit muss musste nach nicht nichts noch nun nur ob oder ohne
+    sehr sein seine selbst sich sie sind so solche soll sollte sondern um und uns unser unter viel vom von vor war waren warum was weil weiter
+    welche wenn wer werde werden wie wieder will wir wird wirst wo wollen würde zu zum zur zwar zwischen über
+""".split()
+SPANISH_STOP = """
+    a al algo algunas algunos ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era es esa esas
+    ese eso esos esta estas este esto estos está estoy fue ha hay la las le les lo los me mi mis mucho muchos muy más ni no nos nosotros nuestra
+    nuestro o os otra otras otro otros para pero poco por porque que quien quienes qué se ser si sin sobre son su sus sí también tanto te tiene
+    tu tus un una uno unos y ya yo él
+""".split()
 
 
 def standard(text: Column, stop: Iterable[str] = ()) -> Column:
@@ -64,15 +82,15 @@ def with_offsets(text: Column, regexp: str = WORD) -> Column:
     """``array<struct<token, start, end>>`` in code points, ends exclusive."""
     gaps = F.transform(F.split(text, regexp, -1), lambda x: F.length(x))
     found = F.regexp_extract_all(text, F.lit(regexp), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
+    # one gap more than tokens: what lies after the last
+    steps = F.filter(F.zip_with(gaps, found, lambda g, t: F.struct(g.alias("gap"), t.alias("token"))), lambda x: x["token"].isNotNull())
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["token"]), F.lit(0))
-        one = F.array(F.struct(x["token"].alias("token"), s.alias("start"), e.alias("end")))
-        return F.struct(e.alias("at"), F.when(x["token"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["gap"]
+        e = s + F.length(x["token"])
+        return e, F.array(F.struct(x["token"].alias("token"), s.alias("start"), e.alias("end")))
 
-    return F.aggregate(F.zip_with(gaps, found, lambda g, t: F.struct(g.alias("gap"), t.alias("token"))), start, add, lambda acc: acc["out"])
+    return F.when(text.isNotNull(), scan(steps, F.lit(0), step, "struct<token:string,start:int,end:int>"))
 
 
 def possessive(tokens: Column) -> Column:

@@ -28,6 +28,19 @@ def delete_by_terms(rows: DataFrame, column: str, values: list) -> DataFrame:
     return rows.where(~F.coalesce(F.col(column).isin(list(values)), F.lit(False)))
 
 
+def delete_all(rows: DataFrame, key: str, seq: str = "seq", deleted: str = "deleted") -> DataFrame:
+    """Tombstones, one number later, for every key that is alive: appended, they leave an empty table and keep older versions."""
+    alive = live(rows, key, seq, deleted)
+    last = rows.agg(F.max(seq).alias("__last"))  # one row
+    return alive.crossJoin(F.broadcast(last)).withColumns({seq: (F.col("__last") + 1).cast(rows.schema[seq].dataType), deleted: F.lit(True)}).select(*rows.columns)
+
+
+def write_sorted(rows: DataFrame, path: str, by: list[Column], parts: int | None = None) -> None:
+    """Files in the order of ``by``, so that each row group spans a narrow range of it and range filters skip the others."""
+    dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
 def delete_by_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)
 

@@ -67,16 +67,17 @@ def page_after(rows: DataFrame, keys: list[Key], id_col: str, size: int, last_va
     return page(rows.where(later), keys, id_col, size)
 
 
-def top_groups(rows: DataFrame, group: str, group_keys: list[Key], keys: list[Key], id_col: str, groups: int = 3, hits: int = 4, start: int = 0) -> DataFrame:
+def top_groups(rows: DataFrame, group: str, group_keys: list[Key], keys: list[Key], id_col: str, groups: int = 3, hits: int = 4, start: int = 0, score: Column | None = None) -> DataFrame:
     """The best hits of the best groups.
 
     Groups rank by their best row under ``group_keys``; hits in a group by
     ``keys``. Adds ``group_rank`` (from 1), ``hit_rank``, ``group_hits`` (all
-    rows of the group). A null group is a group. The first pass is an aggregate
+    rows of the group) and, with a ``score``, ``group_max_score``. A null group is a group. The first pass is an aggregate
     with map-side combine, so a group of any size costs one row for each task.
     """
     best = F.struct(*[_ordinal(k) for k in group_keys], F.col(id_col))
-    firsts = rows.groupBy(F.col(group).alias("__g")).agg(F.min(best).alias("__best"), F.count("*").alias("group_hits"))
+    most = [F.max(score).alias("group_max_score")] if score is not None else []
+    firsts = rows.groupBy(F.col(group).alias("__g")).agg(F.min(best).alias("__best"), F.count("*").alias("group_hits"), *most)
     ranked = firsts.orderBy("__best").limit(start + groups)
     ranked = ranked.withColumn("group_rank", F.row_number().over(Window.orderBy("__best"))).where(F.col("group_rank") > start)  # few rows
     chosen = rows.join(F.broadcast(ranked), rows[group].eqNullSafe(F.col("__g"))).drop("__g", "__best")

@@ -15,6 +15,7 @@ For many queries over the same texts, ``vellum.plans.postings`` keeps an index.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -319,6 +320,25 @@ class Boost(Query):
         return match, score * self.by
 
 
+def words_of(field: str, text: str, all_: bool = False) -> Boolean:
+    """Texts with any or all of the words of plain ``text``, analysed like ``analysis.standard``; there is no query language."""
+    each = [Term(field, w) for w in dict.fromkeys(re.findall(r"[^\W_]+", text.lower()))]
+    return Boolean(must=each) if all_ else Boolean(should=each)
+
+
+@dataclass
+class AnyOf(Query):
+    """Texts with any of a list of terms, as dictionary queries expand to; the score is constant."""
+
+    field: str
+    terms: list[str]
+    score: float = 1.0
+
+    def compile(self, ctx):
+        found = F.arrays_overlap(ctx.tokens(self.field), F.array(*[F.lit(t) for t in self.terms])) if self.terms else F.lit(False)
+        return F.coalesce(found, F.lit(False)), F.lit(float(self.score))
+
+
 def multi_field(fields: list[str], words: list[str], all_: bool = False) -> Boolean:
     """Each word in any of the fields; all words, or any."""
     each = [Boolean(should=[Term(f, w) for f in fields]) for w in words]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,5 +24,13 @@ def query(sql: str | None):
     return add
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{(path or tempfile.mkdtemp(prefix='vellum-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

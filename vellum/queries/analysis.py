@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import analysis
+from vellum.functions import analysis, stemming
 from vellum.operators import highlight
 from vellum.operators.search import Constant, Term, search, top
 from vellum.queries import query, table
@@ -85,3 +85,9 @@ def highlight_whole(spark, sf):
 def highlight_snippets(spark, sf):
     hits = top(search(table(spark, sf, "documents"), Term("text", "with")), 10)
     return hits.select("doc_id", F.inline(highlight.snippets(F.col("text"), lambda t: t == "with")))
+
+
+@query(None)
+def analyze_porter_stem(spark, sf):
+    tokens = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(analysis.standard(F.col("text"))).alias("token"))
+    return stemming.english(tokens, "token").groupBy("stem").agg(F.count("*").alias("n"))

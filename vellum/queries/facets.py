@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vellum.functions import scalar
 from vellum.operators import facets
-from vellum.queries import query, table
+from vellum.queries import query, scratch, table
 from vellum.streaming import ingest
 
 
@@ -119,7 +116,7 @@ def windowed_facets(spark, sf):
 
 @query("SELECT event_type AS label, count(*) AS count FROM events GROUP BY 1")
 def stream_ingest_facets(spark, sf):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-stream-")) + f"/{uuid.uuid4().hex}"
+    folder = scratch(spark)
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(_source(sf))
     stream = stream.where("event_type is not null")

@@ -111,3 +111,14 @@ def recency_blend(spark, sf):
     blend = F.col("value") * scalar.recency(seconds, 1704153600.0, 3600.0)
     rows = table(spark, sf, "events").where("value is not null").select("event_id", blend.alias("v"))
     return page(rows, [Key(F.col("v"), reverse=True)], "event_id", 20).withColumn("v", F.round("v", 6))
+
+
+@query(
+    """WITH g AS (SELECT o_custkey AS c, max(o_totalprice) AS m, count(*) AS n FROM orders GROUP BY 1),
+    b AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS p FROM orders)
+    SELECT g.c AS o_custkey, g.n AS group_hits, g.m AS group_max_score, b.k AS o_orderkey FROM g JOIN b ON g.c = b.c AND b.p = 1 ORDER BY g.m DESC, b.k LIMIT 5"""
+)
+def group_max_score(spark, sf):
+    price = Key(F.col("o_totalprice"), reverse=True)
+    found = top_groups(table(spark, sf, "orders"), "o_custkey", [price], [price], "o_orderkey", 5, 1, score=F.col("o_totalprice"))
+    return found.select("o_custkey", "group_hits", "group_max_score", "o_orderkey")

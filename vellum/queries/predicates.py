@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import analysis
 from vellum.operators import fuzzy
-from vellum.operators.search import Constant, Fuzzy, Phrase, Prefix, Range, Regexp, TermRange, Wildcard, search
+from vellum.operators.search import AnyOf, Constant, Fuzzy, Phrase, Prefix, Range, Regexp, TermRange, Wildcard, search
 from vellum.plans import postings
 from vellum.queries import query, table
 
@@ -105,6 +105,21 @@ def fuzzy_query_damerau(spark, sf):
     return fuzzy.expand(terms, "whit", 2)
 
 
+@query(None)
+def fuzzy_expansion_all_terms(spark, sf):
+    """The whole dictionary, terms of any letters; SQL counts bytes there."""
+    terms = table(spark, sf, "documents").select(F.explode(analysis.standard(F.col("text"))).alias("term")).distinct()
+    return fuzzy.expand(terms, "whit", 2)
+
+
+@query(None)
+def fuzzy_query_swaps(spark, sf):
+    """Texts with any of the 50 nearest terms within two edits, a swap being one."""
+    docs = table(spark, sf, "documents")
+    near = fuzzy.expand(docs.select(F.explode(analysis.standard(F.col("text"))).alias("term")).distinct(), "hwit", 2)
+    return search(docs, AnyOf("text", [r.term for r in near.collect()]), keep=["doc_id"])  # at most 50 terms
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
     e AS (SELECT DISTINCT term FROM t WHERE starts_with(term, 'thou') ORDER BY term LIMIT 20)

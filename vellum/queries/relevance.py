@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vellum.functions.analysis import standard
-from vellum.operators.search import Boolean, Boost, Constant, DisMax, MatchAll, Range, Similarity, Term, Where, common_terms, multi_field, search, top
+from vellum.operators.search import Boolean, Boost, Constant, DisMax, MatchAll, Range, Similarity, Term, Where, common_terms, multi_field, search, top, words_of
 from vellum.plans import postings
-from vellum.queries import query, table
+from vellum.queries import query, scratch, table
 
 _TOK = r"t AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tok FROM documents), s AS (SELECT CAST(count(tok) AS DOUBLE) AS n, avg(len(tok)) AS avgdl FROM t)"
 
@@ -144,8 +141,7 @@ def term_statistics(spark, sf):
 
 @query(rf"WITH {_TOK} SELECT doc_id, round({_bm25('with')} + {_bm25('from')}, 6) AS score FROM t, s WHERE {_has('with')} AND {_has('from')}")
 def kept_index_all_terms(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-index-")
-    index = postings.Index.build(table(spark, sf, "documents"), f"{folder}/{uuid.uuid4().hex}", parts=8)
+    index = postings.Index.build(table(spark, sf, "documents"), scratch(spark), parts=8)
     return _round(index.search(["with", "from"], all_=True))
 
 
@@ -156,3 +152,13 @@ def kept_index_all_terms(spark, sf):
 def multi_field_all_words(spark, sf):
     return search(table(spark, sf, "part"), Constant(multi_field(["p_name", "p_type"], ["ring", "economy"], all_=True)), fields={"p_name": standard, "p_type": standard}, keep=["p_partkey"]).select("p_partkey")
 
+
+
+@query(rf"WITH {_TOK} SELECT doc_id, round({_bm25('with')} + {_bm25('from')} + {_bm25('not')}, 6) AS score FROM t, s WHERE {_has('with')} OR {_has('from')} OR {_has('not')}")
+def text_words_any(spark, sf):
+    return _round(search(table(spark, sf, "documents"), words_of("text", "With, from -- NOT with!"), keep=["doc_id"]))
+
+
+@query(rf"WITH {_TOK} SELECT doc_id, round({_bm25('with')} + {_bm25('from')}, 6) AS score FROM t, s WHERE {_has('with')} AND {_has('from')}")
+def text_words_all(spark, sf):
+    return _round(search(table(spark, sf, "documents"), words_of("text", "from (With)", all_=True), keep=["doc_id"]))
