@@ -17,11 +17,13 @@ BROADCAST_IDS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, is a temporary one made.
+    Only in local mode, where the session may name none, is a temporary one made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("vellum.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if not path:
             path = tempfile.mkdtemp(prefix="vellum-")
             spark.conf.set("vellum.checkpoint.dir", path)
@@ -32,10 +34,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It cuts the lineage, so that later stages neither repeat the work nor
-    depend on executors that may be lost.
+    depend on executors that may be lost. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -50,12 +50,12 @@ GROUPS = 256
 #: Children of a node of the tree.
 LEAF = 16
 #: Bytes of text for a bucket of the shared-shingle count.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 #: Documents that a task works on at once, and shingles of the sets that it works on at once.
 DOCS = 1_000
 SHINGLES = 1_000_000
 #: Points of one part of a block.
-PART = 2_000
+PART = 1_000
 #: Blocks of a set that the first round takes.
 FIRST = 2
 #: Partners of a point that the third round names; the last round has no such limit.

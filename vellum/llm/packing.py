@@ -75,8 +75,9 @@ class Encoder:
         self.remembered = remembered
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.known, self.chunks):
-            if len(known) > self.remembered:
+        # chunks are longer than words, and fewer texts have them
+        for known, most in ((self.known, self.remembered), (self.chunks, self.remembered // 4)):
+            if len(known) > most:
                 known.clear()
         out: list[bytes] = [b""] * len(texts)
         plain, other = {}, {}
