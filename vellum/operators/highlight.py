@@ -13,6 +13,8 @@ from vellum.functions import analysis
 
 K1, B, PIVOT = 0.8, 0.75, 87.0
 SENTENCE = r"[^.!?\n]+[.!?]*\n?|[.!?\n]+"
+#: What a passage may be; any other pattern that matches the whole text piece by piece will do too.
+BREAKS = {"sentence": SENTENCE, "line": r"[^\n]*\n|[^\n]+", "word": r"\S+\s*|\s+", "character": r"(?s).", "whole": r"(?s).+"}
 
 
 def matches(text: Column, accepts) -> Column:
@@ -49,15 +51,8 @@ def whole_values(values: Column, accepts) -> Column:
     return F.transform(values, lambda v: whole(v, accepts))
 
 
-def snippets(text: Column, accepts, most: int = 2, max_length: int = 100) -> Column:
-    """The best passages ``array<struct<start, end, score, text>>``, in order of place.
-
-    Passages are sentences. A passage scores by its matches, saturated and
-    normalised by its length; ties go to the earlier one. Long passages are cut
-    at ``max_length`` and end with an ellipsis.
-    """
-    sentences = analysis.with_offsets(text, SENTENCE)
-    hits = matches(text, accepts)
+def _best(text: Column, hits: Column, most: int, breaks: str) -> Column:
+    """The passages ``array<struct<rank, start, end, score>>`` with the most to show, the best first."""
 
     def scored(s: Column) -> Column:
         n = F.size(F.filter(hits, lambda h: (h["start"] >= s["start"]) & (h["end"] <= s["end"]))).cast("double")
@@ -66,7 +61,18 @@ def snippets(text: Column, accepts, most: int = 2, max_length: int = 100) -> Col
         score = norm * n * (K1 + 1) / (n + K1 * (1 - B + B * length / PIVOT))
         return F.struct((-score).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
-    best = F.slice(F.array_sort(F.filter(F.transform(sentences, scored), lambda x: x["score"] > 0)), 1, most)
+    passages = F.transform(analysis.with_offsets(text, BREAKS.get(breaks, breaks)), scored)
+    return F.slice(F.array_sort(F.filter(passages, lambda x: x["score"] > 0)), 1, most)
+
+
+def snippets(text: Column, accepts, most: int = 2, max_length: int = 100, breaks: str = "sentence") -> Column:
+    """The best passages ``array<struct<start, end, score, text>>``, in order of place.
+
+    Passages are what ``breaks`` names or matches. A passage scores by its
+    matches, saturated and normalised by its length; ties go to the earlier one.
+    Long passages are cut at ``max_length`` and end with an ellipsis.
+    """
+    best = _best(text, matches(text, accepts), most, breaks)
 
     def shown(x: Column) -> Column:
         body = F.substring(text, x["start"] + 1, x["end"] - x["start"])
@@ -74,3 +80,14 @@ def snippets(text: Column, accepts, most: int = 2, max_length: int = 100) -> Col
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), cut.alias("text"))
 
     return F.array_sort(F.transform(best, shown))
+
+
+def snippet_parts(text: Column, accepts, most: int = 2, breaks: str = "sentence") -> Column:
+    """The best passages, uncut, with their parts: ``array<struct<start, end, score, parts>>``, in order of place."""
+    hits = matches(text, accepts)
+
+    def shown(x: Column) -> Column:
+        inside = F.filter(hits, lambda h: (h["start"] >= x["start"]) & (h["end"] <= x["end"]))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), parts_of(text, inside, x["start"], x["end"]).alias("parts"))
+
+    return F.array_sort(F.transform(_best(text, hits, most, breaks), shown))

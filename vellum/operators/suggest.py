@@ -42,6 +42,15 @@ def update(entries: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(changes.select("weight", "text", "payload", "contexts"))
 
 
+def save(entries: DataFrame, path: str) -> None:
+    """Keeps a dictionary; a new one replaces the old, from which it must not be read."""
+    entries.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def _normal(text: Column) -> Column:
     return F.array_join(analysis.standard(text), " ")
 

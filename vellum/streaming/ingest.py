@@ -7,6 +7,8 @@ writes the same generation anew, so nothing is doubled.
 
 from __future__ import annotations
 
+from time import monotonic, sleep
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,6 +30,24 @@ def read(spark: SparkSession, path: str, generation: int | None = None) -> DataF
     return rows if generation is None else rows.where(F.col("generation") <= generation)
 
 
+def generations(spark: SparkSession, path: str) -> DataFrame:
+    """``(generation, rows)``: how many rows each generation brought."""
+    return spark.read.parquet(path).groupBy("generation").agg(F.count("*").alias("rows"))
+
+
+def wait_for(spark: SparkSession, path: str, generation: int, seconds: float, query: StreamingQuery | None = None) -> bool:
+    """Whether a generation was complete within so many seconds; what ended the ``query`` with an error is raised."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={generation:012d}/_SUCCESS")
+    files, end = done.getFileSystem(spark._jsc.hadoopConfiguration()), monotonic() + seconds
+    while not files.exists(done):
+        if query is not None and query.exception() is not None:
+            raise query.exception()
+        if monotonic() >= end:
+            return False
+        sleep(0.1)
+    return True
+
+
 def windowed_facets(stream: DataFrame, time: str, dim: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of labels in tumbling windows, with a watermark for late rows (an extension)."""
     timed = stream.withWatermark(time, late) if stream.isStreaming else stream
